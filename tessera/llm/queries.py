@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_rules, mixing, phrase_index, simhash
+from tessera.llm import line_rules, mixing, phrase_index, simhash, token_files
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"rules.{c}" for c in names), "rules.n_bad_lines", "rules.n_lost_words")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -33,7 +37,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality_rules, op7_benchmark_decontamination, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_quality_rules, op5_token_files, op7_benchmark_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
