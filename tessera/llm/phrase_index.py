@@ -285,5 +285,5 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents in which a benchmark phrase occurs; rows without an id cannot be named and stay."""
     found = decontaminate(docs, items, id_col, text_col)
-    bad = found.where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    bad = found.where("contaminated").select(F.col(id_col).alias("__tessera_bad")).distinct()
+    return docs.join(bad, F.col(id_col) == F.col("__tessera_bad"), "left_anti")

@@ -123,7 +123,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = member.join(nodes, member["node"] == nodes["fp"]).select("node", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     reached = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = nodes.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    every = nodes.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    ids = written(every, "components")  # so that a hot fingerprint's partition can be split in the last join
     return rows.join(ids, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -135,6 +136,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat that id one stays; rows without an id cannot be named and stay.
     """
     found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    one = docs.join(stay, F.col(id_col) == F.col("_stay")).drop("_stay").dropDuplicates([id_col])
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__tessera_stay")).distinct()
+    one = docs.join(stay, F.col(id_col) == F.col("__tessera_stay"), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(F.col(id_col).isNull()))
