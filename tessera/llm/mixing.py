@@ -174,8 +174,8 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: each document as many times as its taken words, to the nearest whole copy."""
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    found = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("_id"), F.col("row_hash").alias("_key")).agg(F.sum(copies).cast("int").alias("_n"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
-    met = keyed.join(found.where("_n > 0"), keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
-    once = met.dropDuplicates([id_col, "_hash"])
-    return once.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*docs.columns)
+    found = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__tessera_id"), F.col("row_hash").alias("__tessera_key")).agg(F.sum(copies).cast("int").alias("__tessera_n"))
+    keyed = docs.withColumn("__tessera_hash", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
+    met = keyed.join(found.where("__tessera_n > 0"), keyed[id_col].eqNullSafe(F.col("__tessera_id")) & (F.col("__tessera_hash") == F.col("__tessera_key")))
+    once = met.dropDuplicates([id_col, "__tessera_hash"])
+    return once.withColumn("__tessera_copy", F.explode(F.array_repeat(F.lit(1), F.col("__tessera_n")))).select(*docs.columns)
