@@ -50,13 +50,13 @@ def line_fails(line: Column) -> Column:
     """
     words = _of(WORD + "+", line)
     upper, lower = _of(r"\p{Lu}", line), _of(r"\p{Ll}", line)
-    shouts = (words >= 3) & (upper > MAX_UPPER_SHARE * (upper + lower))
+    shouts = (upper > MAX_UPPER_SHARE * (upper + lower)) & (words >= 3)
     marks = _of(r"[!?]{2,}", line)
     signs = _of(r"[#*$%&|<>»›·•]+", line)
     punctuation = (marks >= 3) & (marks >= MAX_MARKS_PER_WORD * words)
     navigation = (signs >= 1) & (signs >= MAX_SYMBOLS_PER_WORD * words)
     boilerplate = line.rlike("(?i)" + "|".join(BOILERPLATE))
-    return (words > 0) & (shouts | punctuation | navigation | boilerplate)
+    return shouts | punctuation | navigation | boilerplate  # words are counted only where the cheaper test holds
 
 
 def _repeat_words(docs: DataFrame) -> DataFrame:
@@ -133,7 +133,9 @@ def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     )
-    kept = ~F.col("base_failed") & (F.col("n_lost_words") < MAX_LOST * F.col("n_words"))
+    # the last term is always true; as it isn't deterministic, a caller's filter on the verdict stays
+    # above this projection, where pushed below it would make every array again, inside lambdas
+    kept = ~F.col("base_failed") & (F.col("n_lost_words") < MAX_LOST * F.col("n_words")) & (F.monotonically_increasing_id() >= 0)
     fields = [
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "n_bad_lines", "n_lost_words", kept.alias("kept"), "clean_text",
