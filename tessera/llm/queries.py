@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import line_rules, mixing, phrase_index, simhash, token_files
+from tessera.llm import compression_quality, line_rules, mixing, phrase_index, simhash, token_files
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    known = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    model = compression_quality.fit(docs.join(known, "doc_id"))
+    found = compression_quality.score(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,7 +47,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality_rules, op5_token_files, op7_benchmark_decontamination, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_compression_quality, op2_source_mixing, op3_quality_rules, op5_token_files, op7_benchmark_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
