@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import compression_quality, line_rules, mixing, phrase_index, secret_scan, simhash, token_files, warc
+from tessera.llm import compression_quality, license_digest, line_rules, mixing, phrase_index, secret_scan, simhash, token_files, warc
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"rules.{c}" for c in names), "rules.n_bad_lines", "rules.n_lost_words")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents")))
 
@@ -57,8 +61,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_compression_quality, op2_source_mixing, op3_quality_rules, op5_token_files, op6_warc, op7_benchmark_decontamination, op9_secret_scan, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_compression_quality, op2_source_mixing, op3_quality_rules, op4_license_scan, op5_token_files, op6_warc, op7_benchmark_decontamination, op9_secret_scan, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_digest.oracle_sql()}
