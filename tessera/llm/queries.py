@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import compression_quality, license_digest, line_rules, mixing, phrase_index, secret_scan, simhash, token_files, warc
+from tessera.llm import compression_quality, license_digest, line_rules, line_templates, mixing, phrase_index, secret_scan, simhash, token_files, warc
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.dropped_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -61,7 +66,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_compression_quality, op2_source_mixing, op3_quality_rules, op4_license_scan, op5_token_files, op6_warc, op7_benchmark_decontamination, op9_secret_scan, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_compression_quality, op2_source_mixing, op3_quality_rules, op4_license_scan, op5_token_files, op6_warc, op7_benchmark_decontamination, op8_line_dedup, op9_secret_scan, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
