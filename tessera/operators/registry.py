@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import aggregates, catalog, joins, projection, sets, sql_surface, windows  # noqa: F401  the modules register their queries
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +30,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"flagship": flagship}
+    return {"flagship": flagship, **catalog.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -41,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey
             JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
             WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY n_name)) WHERE place <= 10""",
+        **catalog.ORACLES,
     }
