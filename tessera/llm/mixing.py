@@ -104,7 +104,6 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     dealt = points.join(grid, "cell").where("point >= low AND point < high").select(
         "slot", "source_no", F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk")
     )
-    dealt = written(dealt, "mix-points")
     counts = dealt.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("source_no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
