@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -36,14 +37,15 @@ FIT = 0.95
 #: A file closes with the document that reaches this many ids.
 FILE_IDS = 1 << 20
 #: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 800_000
 _MAGIC = b"PFB1"
 _HEAD = np.dtype([("block", "<u4"), ("ids", "<u8"), ("docs", "<u4"), ("blocks", "<u4"), ("payload", "<u8"), ("exceptions", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("present", "u1"), ("ids", "<u8")])
 _INDEX = np.dtype([("offset", "<u8"), ("least", "<u4"), ("width", "u1"), ("exceptions", "<u4")])
 _EXCEPTION = np.dtype([("place", "<u2"), ("rest", "<u4")])
-#: A space between two other characters always begins a new piece of the pre-tokenizer, whatever stands around it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space before another character always begins a new piece of the pre-tokenizer, whatever stands before it.
+_CUT = re.compile(r"(?= \S)")
+_ODD = re.compile(r" (?:\s|$)")
 
 
 @lru_cache(maxsize=2)
@@ -56,26 +58,52 @@ def _tokenizer(name: str):
 
 
 class Encoder:
-    """Encodes whole texts with a byte-level BPE file; remembers the ids of pieces between cut points."""
+    """Encodes whole texts with a byte-level BPE file; remembers the ids of pieces between cut points.
+
+    The first ``CACHE_PIECES`` distinct pieces stay, so that frequent ones do; where
+    a quarter of the last million or so were unknown, the memory starts anew.
+    """
 
     def __init__(self, name: str) -> None:
-        self._encode = _tokenizer(name).encode_batch_fast
+        self._library = _tokenizer(name).encode_batch_fast
         self._known: dict[str, bytes] = {}
+        self._seen = self._missed = 0
+        self._marks = dict(zip(".,", self._encoded([".", ","]), strict=True))
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", c.ids).tobytes() for c in self._library(pieces, add_special_tokens=False)]
 
     def __call__(self, text: str) -> np.ndarray:
-        pieces = _CUT.split(text)
+        if _ODD.search(text):
+            first, *rest = _CUT.split(text)
+            rest = [p[1:] for p in rest]
+        else:
+            first, *rest = text.split(" ")
         known = self._known
-        try:
-            packed = b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            if len(known) + len(new) > CACHE_PIECES:
+        coded = list(map(known.get, rest))
+        if None in coded:
+            # a mark after a letter is a piece of its own: the word before it may be known
+            stems = {p: p[:-1] if p[-1] in self._marks and p[-2:-1].isalpha() else p for p, c in zip(rest, coded, strict=True) if c is None}
+            new = list({s for s in stems.values() if s not in known})
+            got = dict(zip(new, self._encoded([" " + s for s in new]), strict=True))
+            whole = {p: (got.get(s) or known[s]) + (self._marks[p[-1]] if s != p else b"") for p, s in stems.items()}
+            coded = [whole[p] if c is None else c for p, c in zip(rest, coded, strict=True)]
+            self._missed += len(new)
+            if len(known) < CACHE_PIECES:
+                known.update(got)
+                known.update(whole)
+        self._seen += len(rest)
+        if self._seen > 1 << 20:
+            if 4 * self._missed > self._seen:
                 known.clear()
-                new = list(dict.fromkeys(pieces))
-            coded = self._encode(new, add_special_tokens=False)
-            known.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(new, coded, strict=True))
-            packed = b"".join([known[p] for p in pieces])
-        return np.frombuffer(packed, "<u4")
+            self._seen = self._missed = 0
+        return np.frombuffer(b"".join(self._encoded([first]) + coded), np.uint32)
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str) -> Encoder:
+    """One encoder a worker process, so that its memory outlasts a task."""
+    return Encoder(name)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -170,7 +198,7 @@ def write_files(
         from pyspark import TaskContext
 
         part, file = TaskContext.get().partitionId(), 0
-        encode, end = Encoder(tokenizer), np.array([end_id], "<u4")
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4")
         ids: list[np.ndarray] = []
         listed: list[tuple[int | None, int]] = []
         size = 0
