@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, catalog, joins, projection, sets, sql_surface, windows  # noqa: F401  the modules register their queries
+from tessera.operators import aggregates, catalog, dimensions, joins, projection, quality, sets, sql_surface, windows  # noqa: F401  the modules register their queries
 from tessera.functions import scalars  # noqa: F401
 from tessera.plans.session import table
 
