@@ -1,8 +1,8 @@
 """Licence scans by canonical digest, in DataFrame functions alone.
 
 A text is brought to a canonical form: copyright lines go, equivalent spellings
-become one, letters are lowered, and runs of anything but letters and digits become two
-spaces, so that neighbouring words do not share one. Its SHA-256 is hash-joined to the digests of known licence texts, once for
+become one, letters are lowered, and within a line runs of anything but letters and
+digits become two spaces, so that neighbouring words do not share one. Its SHA-256 is hash-joined to the digests of known licence texts, once for
 the entire text and once for each of its lines and paragraphs, each an entire
 text of its own. The rules are plain regular expressions, so SQL states them too.
 """
@@ -39,17 +39,29 @@ KNOWN = (
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
 )
 
-_COPYRIGHT = r"(?i)(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
-_OTHER = r"[^\p{L}\p{N}]+"
+_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
+_NOTICES = ("copyright", "(c)", "©")
+_OTHER = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null gives the empty form."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), _COPYRIGHT, "\n")
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(plain), _OTHER, "  ")), F.lit(" "))
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line, in order; null gives one empty line."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = F.contains(low, F.lit(_NOTICES[0])) | F.contains(low, F.lit(_NOTICES[1])) | F.contains(low, F.lit(_NOTICES[2]))
+    plain = F.when(named, F.regexp_replace(low, _COPYRIGHT, "\n")).otherwise(low)
+    spaced = F.concat(F.lit(" "), F.replace(F.regexp_replace(plain, _OTHER, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for old, new in SPELLINGS:
         spaced = F.replace(spaced, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(spaced)
+    return F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.array_remove(lines, ""), "  ")
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a whole text: that of its lines, without empty ones."""
+    return _joined(canonical_lines(text))
 
 
 def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
@@ -71,47 +83,45 @@ def scan(docs: DataFrame, more: DataFrame | None = None, id_col: str = "doc_id",
     equal rows; the joins are on digests, of which known ones are few.
     """
     known = known_digests(docs.sparkSession, more)
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("key")
-    )
-    whole = rows.select("id", "key", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    several = F.filter(F.split("text", r"\n[ \t]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    parts = rows.select("id", "key", F.explode(F.concat(F.split("text", "\n"), several)).alias("part")).where("part <> ''")
-    met = parts.select("id", "key", F.sha2(canonical(F.col("part")), 256).alias("digest")).join(known, "digest")
-    copies = rows.groupBy("id", "key").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), canonical_lines(F.col(text_col)).alias("lines"))
+    paragraphs = F.filter(F.split(F.array_join("lines", "\n"), "\n\n+"), lambda p: F.contains(p, F.lit("\n")))
+    joined = F.transform(paragraphs, lambda p: _joined(F.split(p, "\n")))
+    parts = F.transform(F.array_remove(F.concat("lines", joined), ""), lambda p: F.struct(F.lit(1).alias("part"), F.sha2(p, 256).alias("digest")))
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.sha2(_joined(F.col("lines")), 256).alias("digest")))
+    dealt = rows.select("id", "key", F.inline(F.concat(whole, parts)))
+    # of the lines only those that match go on; a row's own digest always does
+    met = dealt.join(known, "digest", "left").where("part = 0 OR license IS NOT NULL")
+    own, part = F.col("part") == 0, F.when(F.col("part") == 1, F.col("license"))
     found = met.groupBy("id", "key").agg(
-        F.array_join(F.sort_array(F.collect_set("license")), ",").alias("part_licenses"), F.count("*").alias("n")
-    ).alias("f").join(copies.alias("c"), F.expr("f.id <=> c.id AND f.key = c.key"), "left").select(
-        "f.id", "f.key", "part_licenses", F.expr("n DIV coalesce(copies, 1)").alias("n_parts")
-    )
-    named = whole.join(known, "digest", "left").alias("w")
-    same = F.expr("w.id <=> f.id AND w.key = f.key")
-    return named.join(found.alias("f"), same, "left").select(
-        F.col("w.id").alias(id_col), "digest", "license", F.coalesce("part_licenses", F.lit("")).alias("part_licenses"), F.coalesce("n_parts", F.lit(0).cast("long")).alias("n_parts")
-    )
+        F.count(F.when(own, 1)).cast("int").alias("copies"), F.max(F.when(own, F.col("digest"))).alias("digest"), F.max(F.when(own, F.col("license"))).alias("license"),
+        F.array_join(F.sort_array(F.collect_set(part)), ",").alias("part_licenses"), F.count(part).alias("n"),
+    )
+    again = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return again.select(F.col("id").alias(id_col), "digest", "license", "part_licenses", F.expr("n DIV copies").alias("n_parts"))
 
 
 def oracle_sql() -> str:
-    """DuckDB text of ``scan`` over the view ``documents``."""
+    """DuckDB text of ``scan`` over the view ``documents``, whose ids do not repeat."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
-    def form(text: str) -> str:
-        plain = f"regexp_replace(coalesce({text}, ''), {quoted(_COPYRIGHT)}, chr(10), 'g')"
-        spaced = f"' ' || trim(regexp_replace(lower({plain}), {quoted(_OTHER)}, '  ', 'g')) || ' '"
+    def lines(text: str) -> str:
+        plain = f"regexp_replace(lower(coalesce({text}, '')), {quoted(_COPYRIGHT)}, chr(10), 'g')"
+        spaced = f"' ' || replace(regexp_replace({plain}, {quoted(_OTHER)}, '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
         for old, new in SPELLINGS:
             spaced = f"replace({spaced}, {quoted(f' {old} ')}, {quoted(f' {new} ')})"
-        return f"sha256(trim({spaced}))"
+        return f"list_transform(string_split({spaced}, chr(10)), lambda x: trim(x))"
 
+    joined = lambda ls: f"array_to_string(list_filter({ls}, lambda y: y <> ''), '  ')"
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
     return f"""
-    WITH known AS (SELECT {form("t")} AS digest, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1),
-    whole AS (SELECT doc_id, {form("text")} AS digest FROM documents),
+    WITH known AS (SELECT sha256({joined(lines("t"))}) AS digest, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1),
+    formed AS (SELECT doc_id, {lines("text")} AS ls FROM documents),
+    whole AS (SELECT doc_id, sha256({joined("ls")}) AS digest FROM formed),
     pieces AS (
-      SELECT doc_id, unnest(string_split(text, chr(10))) AS part FROM documents
+      SELECT doc_id, unnest(ls) AS part FROM formed
       UNION ALL
-      SELECT doc_id, part FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) AS part FROM documents)
-      WHERE contains(part, chr(10))),
-    met AS (SELECT doc_id, license FROM (SELECT doc_id, {form("part")} AS digest FROM pieces WHERE part <> '') JOIN known USING (digest)),
+      SELECT doc_id, {joined("string_split(p, chr(10))")} FROM (SELECT doc_id, unnest(regexp_split_to_array(array_to_string(ls, chr(10)), '\\n\\n+')) AS p FROM formed) WHERE contains(p, chr(10))),
+    met AS (SELECT doc_id, license FROM (SELECT doc_id, sha256(part) AS digest FROM pieces WHERE part <> '') JOIN known USING (digest)),
     found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS part_licenses, count(*) AS n_parts FROM met GROUP BY 1)
     SELECT doc_id, digest, license, coalesce(part_licenses, '') AS part_licenses, CAST(coalesce(n_parts, 0) AS BIGINT) AS n_parts
     FROM whole LEFT JOIN known USING (digest) LEFT JOIN found USING (doc_id)"""
