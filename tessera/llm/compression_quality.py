@@ -92,22 +92,27 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", per_class: int = PER_CLASS) -> Model:
-    """A model from rows with a text and a label of 1 (good) or 0 (bad); others are passed over.
-
-    Of each class the ``per_class`` rows of smallest hash are taken, of texts of
-    ``SAMPLE_CHARS`` characters or fewer; two thirds of them make the dictionary, the others the
-    calibration, weighted to the classes' shares among all labelled rows. A missing
-    class leaves a model that scores every text with the share of good rows.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", per_class: int = PER_CLASS
+) -> Model:
+    """A model from ``docs`` and rows (id_col, label_col) with labels of 1 (good) or 0 (bad); others are passed over.
+
+    Of each class the ``per_class`` ids of smallest hash are taken, and of them the
+    texts of ``SAMPLE_CHARS`` characters or fewer; this bounded list of ids alone is
+    joined to the documents, by broadcast. Two thirds of the texts make the
+    dictionary, the others the calibration, weighted to the classes' shares among all
+    labels. A missing class leaves a model that scores every text with the share of
+    good rows.
     """
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t <> '' AND y IN (0, 1)")
+    rows = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
-    taken = {}
-    for y in (0, 1):
-        picked = rows.where((F.col("y") == y) & (F.length("t") <= SAMPLE_CHARS)).select("t", F.xxhash64("t").alias("h"))
-        taken[y] = [r["t"] for r in picked.orderBy("h", "t").limit(per_class).collect()]
     prior = counts.get(1, 0) / total if total else 0.5
+    picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where((F.col("t") != "") & (F.length("t") <= SAMPLE_CHARS))
+    found = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "i").select("y", "t", F.xxhash64("t").alias("h"))
+    some = found.orderBy("h", "t").limit(2 * per_class).collect()
+    taken: dict[int, list[str]] = {y: [r["t"] for r in some if r["y"] == y] for y in (0, 1)}
     if not taken[0] or not taken[1]:
         return Model(b"\n" * 16, b"\n" * 16, 0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), prior)
     parts = {y: (ts[: max(1, 2 * len(ts) // 3)], ts[2 * len(ts) // 3 :] or ts) for y, ts in taken.items()}
