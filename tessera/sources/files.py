@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.operators.catalog import Tables, query
-from tessera.plans.storage import new_path
+from tessera.plans.storage import new_path, written
 
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet", ".orc": "orc", ".xml": "xml", ".txt": "text", ".avro": "avro"}
 _CORRUPT = "_corrupt_record"
@@ -27,10 +27,13 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def read_csv_checked(spark: SparkSession, path: str | list[str], schema: StructType, **options: str) -> tuple[DataFrame, DataFrame]:
-    """(clean, corrupt) rows of CSV files under an explicit schema; corrupt ones keep their raw text."""
+    """(clean, corrupt) rows of CSV files under an explicit schema; corrupt ones keep their raw text.
+
+    The files are parsed once, into the shared folder, as Spark allows no query of the corrupt text alone.
+    """
     wide = StructType([*schema.fields, StructField(_CORRUPT, StringType())])
     read = spark.read.options(**{"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, **options}).schema(wide).csv(path)
-    audited = read.withColumns({"_source_file": F.col("_metadata.file_path"), "_load_timestamp": F.current_timestamp()})
+    audited = written(read.withColumns({"_source_file": F.col("_metadata.file_path"), "_load_timestamp": F.current_timestamp()}), "csv")
     return audited.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT), audited.where(F.col(_CORRUPT).isNotNull())
 
 
