@@ -66,7 +66,7 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
     """(digest, license) of the known texts, and of a table (license, text) of further ones, each digest once."""
-    known = spark.createDataFrame(list(KNOWN), "license string, text string")
+    known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in KNOWN])))
     if more is not None:
         known = known.unionAll(more.select("license", "text"))
     hashed = known.select("license", canonical(F.col("text")).alias("c")).where("license IS NOT NULL AND c <> ''")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import compression_quality, license_digest, line_rules, line_templates, mixing, phrase_index, secret_scan, simhash, token_files, warc
+from tessera.llm import compression_quality, license_digest, line_rules, line_templates, mixing, oracles, phrase_index, secret_scan, simhash, token_files, warc
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_digest.oracle_sql()}
+    return oracles.oracle_sql()
