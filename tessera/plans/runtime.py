@@ -8,7 +8,9 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans.storage import shared_dir
+from tessera.plans.storage import settings, shared_dir
+
+__all__ = ["Files", "cached", "checkpointed", "plan_text", "settings"]
 
 
 @contextmanager
@@ -21,20 +23,6 @@ def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
         kept.unpersist()
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings (``__`` for dots) within the block; former values return after it."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names; never a local one."""
     context = df.sparkSession.sparkContext
