@@ -28,16 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import BATCH_ROWS, give_back
 from tessera.plans.storage import written
 
 END_ID = 0
 BLOCK_IDS = 1024
 #: Share of a block's ids that the chosen width must fit.
 FIT = 0.95
-#: A file closes with the document that reaches this many ids.
-FILE_IDS = 1 << 20
-#: Distinct pieces whose ids a worker remembers.
-CACHE_PIECES = 800_000
+#: A file closes with the document that reaches this many ids; its image then stays below
+#: half of the smallest heap region, from which on the JVM gives a value regions of its own.
+FILE_IDS = 1 << 17
+#: Distinct pieces whose ids a worker remembers, texts that it encodes at once, and words that it joins.
+CACHE_PIECES = 400_000
+TEXTS = 16
+JOINED = 50
 _MAGIC = b"PFB1"
 _HEAD = np.dtype([("block", "<u4"), ("ids", "<u8"), ("docs", "<u4"), ("blocks", "<u4"), ("payload", "<u8"), ("exceptions", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("present", "u1"), ("ids", "<u8")])
@@ -57,47 +61,112 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name) if not os.path.isabs(name) else name)
 
 
+class _Known(dict):
+    """Ids by piece; notes the pieces that it is asked for in vain and gives None for them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.asked.append(piece)
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE file; remembers the ids of pieces between cut points.
 
     The first ``CACHE_PIECES`` distinct pieces stay, so that frequent ones do; where
-    a quarter of the last million or so were unknown, the memory starts anew.
+    half of the last million or so were unknown to a full memory, it starts anew.
     """
 
     def __init__(self, name: str) -> None:
-        self._library = _tokenizer(name).encode_batch_fast
-        self._known: dict[str, bytes] = {}
+        tokenizer = _tokenizer(name)
+        self._library = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
+        self._spaced[[k for token, k in vocabulary.items() if token.startswith("Ġ")]] = True
+        self._known = _Known()
         self._seen = self._missed = 0
         self._marks = dict(zip(".,", self._encoded([".", ","]), strict=True))
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         return [array("I", c.ids).tobytes() for c in self._library(pieces, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            first, *rest = _CUT.split(text)
-            rest = [p[1:] for p in rest]
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each after a space. Words are joined and their ids parted again where a token begins
+        with a space, as the library takes far longer for many short texts; a word with a space goes alone."""
+        joined = [w for w in words if " " not in w]
+        alone = [w for w in words if " " in w]
+        chunks = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        got: dict[str, bytes] = {}
+        for chunk, packed in zip(chunks, self._encoded([" " + " ".join(c) for c in chunks]), strict=True):
+            starts = np.flatnonzero(self._spaced[np.frombuffer(packed, np.uint32)])
+            if len(starts) != len(chunk):
+                alone += chunk
+                continue
+            ends = (4 * np.append(starts, len(packed) // 4)).tolist()
+            got.update((w, packed[a:b]) for w, a, b in zip(chunk, ends, ends[1:], strict=False))
+        if alone:
+            got.update(zip(alone, self._encoded([" " + w for w in alone]), strict=True))
+        return got
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of unknown pieces, each after a space."""
+        known, marks = self._known, self._marks
+        got: dict[str, bytes] = {}
+        new: dict[str, str] = {}
+        for p in pieces:
+            if p[-1] in marks and p[-2:-1].isalpha():  # a mark after a letter is a piece of its own
+                stem = p[:-1]
+                if (c := known.get(stem)) is not None:
+                    got[p] = c + marks[p[-1]]
+                else:
+                    new[p] = stem
+            else:
+                new[p] = p
+        stems = list(dict.fromkeys(new.values()))
+        coded = self._words(stems)
+        got.update(coded)
+        for p, stem in new.items():
+            if p != stem:
+                got[p] = coded[stem] + marks[p[-1]]
+        if len(known) < CACHE_PIECES:
+            known.update(got)
         else:
-            first, *rest = text.split(" ")
-        known = self._known
-        coded = list(map(known.get, rest))
-        if None in coded:
-            # a mark after a letter is a piece of its own: the word before it may be known
-            stems = {p: p[:-1] if p[-1] in self._marks and p[-2:-1].isalpha() else p for p, c in zip(rest, coded, strict=True) if c is None}
-            new = list({s for s in stems.values() if s not in known})
-            got = dict(zip(new, self._encoded([" " + s for s in new]), strict=True))
-            whole = {p: (got.get(s) or known[s]) + (self._marks[p[-1]] if s != p else b"") for p, s in stems.items()}
-            coded = [whole[p] if c is None else c for p, c in zip(rest, coded, strict=True)]
-            self._missed += len(new)
-            if len(known) < CACHE_PIECES:
-                known.update(got)
-                known.update(whole)
-        self._seen += len(rest)
+            self._missed += len(stems)
+        return got
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; pieces that are new to any of them go to the library in one call."""
         if self._seen > 1 << 20:
-            if 4 * self._missed > self._seen:
-                known.clear()
+            if 2 * self._missed > self._seen:
+                self._known.clear()
             self._seen = self._missed = 0
-        return np.frombuffer(b"".join(self._encoded([first]) + coded), np.uint32)
+        known = self._known
+        firsts: list[str] = []
+        found: list[tuple[list[str], list[bytes | None], bool]] = []
+        for text in texts:
+            if _ODD.search(text):
+                first, *rest = _CUT.split(text)
+                rest = [p[1:] for p in rest]
+            else:
+                first, *rest = text.split(" ")
+            before = len(known.asked)
+            coded = list(map(known.__getitem__, rest))
+            self._seen += len(rest)
+            firsts.append(first)
+            found.append((rest, coded, len(known.asked) > before))
+        missing, known.asked = set(known.asked), []
+        got = self._learn(missing) if missing else {}
+        out = []
+        for head, (rest, coded, lacks) in zip(self._encoded(firsts), found, strict=True):
+            if lacks:
+                coded = [got[p] if c is None else c for p, c in zip(rest, coded, strict=True)]
+            out.append(np.frombuffer(head + b"".join(coded), np.uint32))
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -108,11 +177,15 @@ def encoder(name: str) -> Encoder:
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values below 2**width as rows of packed bytes, most significant bit first."""
+    if width == 16:
+        return values.astype(">u2").view(np.uint8)
     shifts = np.arange(width - 1, -1, -1, dtype=np.uint32)
     return np.packbits(((values[:, :, None] >> shifts) & 1).astype(np.uint8).reshape(len(values), -1), axis=1)
 
 
 def _unpack(packed: np.ndarray, width: int, count: int) -> np.ndarray:
+    if width == 16:
+        return np.ascontiguousarray(packed).view(">u2").astype(np.uint32)
     bits = np.unpackbits(packed, axis=1)[:, : count * width].reshape(len(packed), count, width)
     total = np.zeros((len(packed), count), np.uint32)
     for k in range(width):
@@ -211,18 +284,21 @@ def write_files(
             )
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = encode(text.as_py())
-                ids += [got, end]
-                listed.append((doc, len(got) + 1))
-                size += len(got) + 1
-                if size >= FILE_IDS:
-                    yield close()
-                    ids, listed, size, file = [], [], 0, file + 1
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                for doc, got in zip(some.column(0).to_pylist(), encode.many(some.column(1).to_pylist()), strict=True):
+                    ids += [got, end]
+                    listed.append((doc, len(got) + 1))
+                    size += len(got) + 1
+                    if size >= FILE_IDS:
+                        yield close()
+                        ids, listed, size, file = [], [], 0, file + 1
         if listed:
             yield close()
+        del ids, listed
+        give_back()
 
-    return written(ordered.mapInArrow(files, "part int, file int, n_ids long, image binary"), "token-files")
+    return written(ordered.mapInArrow(files, "part int, file int, n_ids long, image binary"), "token-files", BATCH_ROWS)
 
 
 def read_files(files: DataFrame) -> DataFrame:
