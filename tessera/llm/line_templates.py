@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import BATCH_ROWS, give_back
 from tessera.plans.storage import written
 
 LEAD = 3
@@ -99,6 +100,7 @@ def _occurrences(docs: DataFrame, min_tokens: int) -> DataFrame:
             types = pa.int64(), pa.int32(), pa.int64(), pa.int64()
             columns = [pa.array(c, t) for c, t in zip((keys, places, leaves, forms), types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["key", "place", "leaf", "form"])
+        give_back()
 
     return docs.mapInArrow(rows, "key long, place int, leaf long, form long")
 
@@ -127,6 +129,8 @@ def _forms(docs: DataFrame, min_tokens: int) -> DataFrame:
                     held.clear()
         if held:
             yield batch()
+            held.clear()
+        give_back()
 
     return docs.mapInArrow(rows, "leaf long, deep long, form long, line string, n long")
 
@@ -172,7 +176,7 @@ def dropped_lines(
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     texts = keyed.select("key", "text")
-    lines = written(_occurrences(texts, min_tokens), "lines")
+    lines = written(_occurrences(texts, min_tokens), "lines", BATCH_ROWS)
     counts = lines.groupBy("leaf").agg(F.count("*").alias("n"))
     # at most one leaf in MAX_LEAF lines is hot: 20 million in a trillion lines
     hot = counts.where(F.col("n") > MAX_LEAF).select("leaf", F.lit(True).alias("hot"))

@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import BATCH_ROWS, give_back
 from tessera.plans.storage import written
 
 WINDOW_WORDS = 10
 #: Words between two documents of a shard; also the largest slack.
 GAP = 16
 #: A shard closes with the document that reaches this many words.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Characters of test items taken at once.
 BLOCK_CHARS = 4 << 20
 
@@ -75,6 +76,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     words, sizes, ids, shard = [], [], [], shard + 1
         if sizes:
             yield from _shard(base + shard, words, sizes, ids)
+        del words
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(rows, _INDEX)
 
@@ -239,7 +242,7 @@ def decontaminate(
     leaves every document clean. Repeated rows are separate documents; repeated
     items count once.
     """
-    index = written(build_index(docs, id_col, text_col), "phrase-index")
+    index = written(build_index(docs, id_col, text_col), "phrase-index", BATCH_ROWS)
     parts = [match_block(index, b, slack) for b in _blocks(items, item_col, item_text_col, width)]
     if len(parts) == 1:
         whole = parts[0]

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import BATCH_ROWS, give_back
 from tessera.operators.graph import connected_components
 from tessera.plans.storage import written
 
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fps = [fingerprint(t.as_py(), width) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+        give_back()
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(score, f"id {kept.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
@@ -117,7 +119,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never name a component, which is null where no row has an id. Repeated rows
     come out as often as they go in; other columns are ignored.
     """
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints", BATCH_ROWS)
     nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     member = connected_components(grid_links(nodes.select("fp")))
     linked = member.join(nodes, member["node"] == nodes["fp"]).select("node", "root", "least")
