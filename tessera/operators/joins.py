@@ -41,16 +41,16 @@ def as_of(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values:
     return filled.where("__side = 1").drop("__side")
 
 
-def safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", unique: bool = True) -> tuple[DataFrame, Observation]:
+def safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", unique: bool = True, account: Observation | None = None) -> DataFrame:
     """Join with a row account in one pass; with ``unique`` a key repeated in ``right`` fails the query.
 
-    The returned observation gives rows_out after an action.
+    ``account`` gives rows_out after an action.
     """
     if unique:
         n = F.count("*").over(W.partitionBy(*on))
         right = right.withColumn("__n", n).where(F.when(F.col("__n") > 1, F.raise_error(F.lit("duplicate join key"))).otherwise(True)).drop("__n")
-    account = Observation("join")
-    return left.join(right, list(on), how).observe(account, F.count("*").alias("rows_out")), account
+    joined = left.join(right, list(on), how)
+    return joined.observe(account, F.count("*").alias("rows_out")) if account else joined
 
 
 def _named(df: DataFrame, *columns: str | Column) -> DataFrame:
@@ -186,4 +186,4 @@ def join_cogroup(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def join_safe(t: Tables) -> DataFrame:
     right = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return safe_join(t.lineitem, right, ["l_partkey"])[0].select("l_orderkey", "l_linenumber", "p_name")
+    return safe_join(t.lineitem, right, ["l_partkey"]).select("l_orderkey", "l_linenumber", "p_name")

@@ -49,19 +49,23 @@ class Gate:
         return long.withColumn("ok", F.col("rate") >= least)
 
 
-def expect(df: DataFrame, log: dict[str, Column] | None = None, drop: dict[str, Column] | None = None, fail: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
-    """Expectations in one pass: counted, counted and dropped, or failing the query; null conditions do not hold."""
-    seen = Observation("expectations")
+def expect(
+    df: DataFrame, log: dict[str, Column] | None = None, drop: dict[str, Column] | None = None, fail: dict[str, Column] | None = None, seen: Observation | None = None
+) -> DataFrame:
+    """Expectations in one pass: counted, counted and dropped, or failing the query; null conditions do not hold.
+
+    ``seen`` gives, after an action, the number of rows that broke each counted one.
+    """
     every = {**(log or {}), **(drop or {})}
     held = {k: F.coalesce(v, F.lit(False)) for k, v in every.items()}
     for k, v in (fail or {}).items():
         broken = F.raise_error(F.lit(f"expectation {k} failed"))
         df = df.where(F.when(F.coalesce(v, F.lit(False)), F.lit(True)).otherwise(broken.cast("boolean")))
-    if held:
+    if held and seen:
         df = df.observe(seen, *[F.sum((~v).cast("int")).alias(k) for k, v in held.items()])
     for k in drop or {}:
         df = df.where(held[k])
-    return df, seen
+    return df
 
 
 def number_of(text: Column) -> Column:
@@ -179,7 +183,7 @@ def dq_gate(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id FROM {_QL} WHERE quality IS NOT NULL")
 def dq_expect(t: Tables) -> DataFrame:
-    kept, _ = expect(_labelled(t), log={"sized": F.col("n") > 0}, drop={"labelled": F.col("quality").isNotNull()}, fail={"keyed": F.col("doc_id").isNotNull()})
+    kept = expect(_labelled(t), log={"sized": F.col("n") > 0}, drop={"labelled": F.col("quality").isNotNull()}, fail={"keyed": F.col("doc_id").isNotNull()})
     return kept.select("doc_id")
 
 
