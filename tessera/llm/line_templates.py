@@ -7,13 +7,16 @@ more), whose differing places become variable, or begins one. Templates that occ
 in many documents are dropped from all.
 
 Work is dealt by leaf. Equal lines are merged before they are dealt, so a very
-common line costs one row a task; a leaf with very many lines is parted by
-further leading tokens. Within a leaf lines are taken in the order of their
-hashes, so results do not depend on how the input is dealt.
+common line costs one row a task. Within a leaf lines are taken in the order of
+their hashes, so results do not depend on how the input is dealt; they are read
+in that order one by one, and a leaf with many templates finds those that can be
+alike by an index, so a leaf of any size has the same tree and the same results.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,9 +29,8 @@ from tessera.llm.workers import BATCH_ROWS, give_back
 from tessera.plans.storage import written
 
 LEAD = 3
-#: Leading tokens of the leaves into which a leaf of more than ``MAX_LEAF`` lines is parted.
-DEEP_LEAD = 8
-MAX_LEAF = 50_000
+#: Templates of a leaf that are compared one by one; more are looked up by place and token. Results are the same.
+MAX_LEAF = 256
 ALIKE = 0.7
 MIN_TOKENS = 4
 MIN_DOCS = 6
@@ -60,29 +62,70 @@ def _parsed(text: str | None, min_tokens: int) -> Iterator[tuple[int, list[str]]
             yield place, tokens
 
 
-def templates(lines: list[tuple[int, list[str]]], alike: float = ALIKE) -> dict[int, int]:
+class Leaf:
+    """The templates of one leaf, whose lines have ``width`` tokens and come in the order of their hashes."""
+
+    def __init__(self, width: int, alike: float = ALIKE, max_leaf: int = MAX_LEAF) -> None:
+        self.least = alike * width
+        # a template as alike as that equals a line in one at least of any so many places
+        self.probes = width - max(1, math.ceil(self.least)) + 1
+        self.max_leaf = max_leaf
+        self.codes: dict[str, int] = {VARIABLE: 0}
+        self.held = np.zeros((4, width), np.int32)
+        self.names = array("q")
+        self.index: dict[tuple[int, int], list[int]] | None = None
+
+    def template(self, h: int, tokens: list[str]) -> int:
+        """Name (the hash of its first line) of the template that the line joins or begins."""
+        own = np.array([self.codes.setdefault(t, len(self.codes)) for t in tokens], np.int32)
+        at = self._alike(own)
+        if at >= 0:
+            for place in np.flatnonzero((self.held[at] != own) & (self.held[at] != 0)).tolist():
+                self.held[at, place] = 0
+                if self.index is not None:
+                    self.index.setdefault((place, 0), []).append(at)
+            return self.names[at]
+        n = len(self.names)
+        if n == len(self.held):
+            self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+        self.held[n] = own
+        self.names.append(h)
+        if self.index is not None:
+            self._note(n)
+        elif n >= self.max_leaf:
+            self.index = {}
+            for i in range(n + 1):
+                self._note(i)
+        return h
+
+    def _note(self, at: int) -> None:
+        for key in enumerate(self.held[at].tolist()):
+            self.index.setdefault(key, []).append(at)
+
+    def _alike(self, own: np.ndarray) -> int:
+        """The most similar template, the first of equals; -1 where none is alike enough."""
+        n = len(self.names)
+        if self.index is None:
+            some, rows = None, self.held[:n]
+        else:
+            lists = sorted((self.index.get(key, ()) for key in enumerate(own.tolist())), key=len)[: self.probes]
+            some = np.unique(np.fromiter((i for x in lists for i in x), np.int64))
+            rows = self.held[some]
+        if not len(rows):
+            return -1
+        equal = (rows == own).sum(axis=1)
+        best = int(equal.argmax())
+        if equal[best] < self.least:
+            return -1
+        return best if some is None else int(some[best])
+
+
+def templates(lines: list[tuple[int, list[str]]], alike: float = ALIKE, max_leaf: int = MAX_LEAF) -> dict[int, int]:
     """Template, named by its first line's hash, of each distinct (hash, tokens) of one leaf, taken in order of hash."""
-    codes: dict[str, int] = {VARIABLE: 0}
-    rows = [(h, np.array([codes.setdefault(t, len(codes)) for t in tokens], np.int32)) for h, tokens in sorted(lines)]
-    if not rows:
+    if not lines:
         return {}
-    held = np.zeros((4, len(rows[0][1])), np.int32)
-    names: list[int] = []
-    out = {}
-    for h, own in rows:
-        n = len(names)
-        equal = (held[:n] == own).sum(axis=1)
-        best = int(equal.argmax()) if n else 0
-        if n and equal[best] >= alike * len(own):
-            held[best][held[best] != own] = 0
-            out[h] = names[best]
-            continue
-        if n == len(held):
-            held = np.concatenate((held, np.zeros_like(held)))
-        held[n] = own
-        names.append(h)
-        out[h] = h
-    return out
+    leaf = Leaf(len(lines[0][1]), alike, max_leaf)
+    return {h: leaf.template(h, tokens) for h, tokens in sorted(lines)}
 
 
 def _occurrences(docs: DataFrame, min_tokens: int) -> DataFrame:
@@ -106,7 +149,7 @@ def _occurrences(docs: DataFrame, min_tokens: int) -> DataFrame:
 
 
 def _forms(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(leaf, deep, form, line, n): distinct lines, merged within each task."""
+    """(leaf, form, line, n): distinct lines, merged within each task."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
@@ -114,10 +157,10 @@ def _forms(docs: DataFrame, min_tokens: int) -> DataFrame:
         def batch() -> pa.RecordBatch:
             split = [line.split(" ") for line in held]
             columns = [
-                pa.array([_leaf(t, LEAD) for t in split], pa.int64()), pa.array([_leaf(t, DEEP_LEAD) for t in split], pa.int64()),
+                pa.array([_leaf(t, LEAD) for t in split], pa.int64()),
                 pa.array([_hash(line) for line in held], pa.int64()), pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["leaf", "deep", "form", "line", "n"])
+            return pa.RecordBatch.from_arrays(columns, ["leaf", "form", "line", "n"])
 
         for b in batches:
             for text in b.column(1):
@@ -132,34 +175,48 @@ def _forms(docs: DataFrame, min_tokens: int) -> DataFrame:
             held.clear()
         give_back()
 
-    return docs.mapInArrow(rows, "leaf long, deep long, form long, line string, n long")
+    return docs.mapInArrow(rows, "leaf long, form long, line string, n long")
 
 
-def _assigned(dealt: DataFrame, alike: float, min_docs: int) -> DataFrame:
-    """(form, template) of the lines whose template holds ``min_docs`` lines or more; ``dealt`` is sorted by leaf in each partition."""
+def _assigned(dealt: DataFrame, alike: float, min_docs: int, max_leaf: int) -> DataFrame:
+    """(form, template) of the lines whose template holds ``min_docs`` lines or more; ``dealt`` is sorted by leaf and form in each partition."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
-        count: dict[int, int] = {}
-        lines: dict[int, str] = {}
+        leaf: Leaf | None = None
+        total = 0
+        held: list[tuple[int, str, int]] = []  # the lines of a leaf until they are enough
+        forms, named, size = array("q"), array("q"), {}
+
+        def take(form: int, line: str, n: int) -> None:
+            nonlocal leaf
+            if forms and forms[-1] == form:  # the same line from another task
+                size[named[-1]] += n
+                return
+            tokens = line.split(" ")
+            leaf = leaf or Leaf(len(tokens), alike, max_leaf)
+            t = leaf.template(form, tokens)
+            forms.append(form)
+            named.append(t)
+            size[t] = size.get(t, 0) + n
 
         def close() -> Iterator[pa.RecordBatch]:
-            if sum(count.values()) >= min_docs:
-                found = templates([(h, line.split(" ")) for h, line in lines.items()], alike)
-                size: dict[int, int] = {}
-                for h, t in found.items():
-                    size[t] = size.get(t, 0) + count[h]
-                some = [(h, t) for h, t in found.items() if size[t] >= min_docs]
-                if some:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some, strict=True)], ["form", "template"])
+            some = [(h, t) for h, t in zip(forms, named, strict=True) if size[t] >= min_docs]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some, strict=True)], ["form", "template"])
 
         for b in batches:
-            for leaf, form, line, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if leaf != at:
+            for key, form, line, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != at:
                     yield from close()
-                    at, count, lines = leaf, {}, {}
-                count[form] = count.get(form, 0) + n
-                lines[form] = line
+                    at, leaf, total, held = key, None, 0, []
+                    forms, named, size = array("q"), array("q"), {}
+                total += n
+                held.append((form, line, n))
+                if total >= min_docs:
+                    for one in held:
+                        take(*one)
+                    held = []
         yield from close()
 
     return dealt.mapInArrow(rows, "form long, template long")
@@ -177,13 +234,8 @@ def dropped_lines(
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     texts = keyed.select("key", "text")
     lines = written(_occurrences(texts, min_tokens), "lines", BATCH_ROWS)
-    counts = lines.groupBy("leaf").agg(F.count("*").alias("n"))
-    # at most one leaf in MAX_LEAF lines is hot: 20 million in a trillion lines
-    hot = counts.where(F.col("n") > MAX_LEAF).select("leaf", F.lit(True).alias("hot"))
-    forms = _forms(texts, min_tokens).join(hot, "leaf", "left")
-    leaf = F.when(F.col("hot"), F.col("deep")).otherwise(F.col("leaf"))
-    dealt = forms.select(leaf.alias("leaf"), "form", "line", "n").repartition("leaf").sortWithinPartitions("leaf")
-    known = written(_assigned(dealt, alike, min_docs), "templates").dropDuplicates(["form"])
+    dealt = _forms(texts, min_tokens).repartition("leaf").sortWithinPartitions("leaf", "form")
+    known = written(_assigned(dealt, alike, min_docs, MAX_LEAF), "templates").dropDuplicates(["form"])
     met = written(lines.select("key", "place", "form").join(known, "form").select("key", "place", "template"), "met")
     spread = met.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     often = written(spread.where(F.col("docs") >= min_docs).select("template"), "recurring")
