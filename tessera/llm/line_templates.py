@@ -11,6 +11,9 @@ common line costs one row a task. Within a leaf lines are taken in the order of
 their hashes, so results do not depend on how the input is dealt; they are read
 in that order one by one, and a leaf with many templates finds those that can be
 alike by an index, so a leaf of any size has the same tree and the same results.
+
+Lines that no frequent template takes are held against each other as they are:
+one of any length that an earlier document has too is a repeat.
 """
 
 from __future__ import annotations
@@ -55,11 +58,11 @@ def _leaf(tokens: list[str], lead: int) -> int:
     return _hash(f"{len(tokens)} {lead} " + " ".join(tokens[:lead]))
 
 
-def _parsed(text: str | None, min_tokens: int) -> Iterator[tuple[int, list[str]]]:
+def _parsed(text: str | None, min_tokens: int) -> Iterator[tuple[int, list[str], str]]:
     for place, line in enumerate((text or "").split("\n")):
         tokens = tokens_of(line)
         if len(tokens) >= min_tokens:
-            yield place, tokens
+            yield place, tokens, line
 
 
 class Leaf:
@@ -129,23 +132,24 @@ def templates(lines: list[tuple[int, list[str]]], alike: float = ALIKE, max_leaf
 
 
 def _occurrences(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(key, place, leaf, form): one row a line of ``docs`` (key, text) with enough tokens."""
+    """(key, place, form, exact): one row a line of ``docs`` (key, text) with tokens; ``form`` is null where they are too few for templates."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, places, leaves, forms = [], [], [], []
+            keys, places, forms, exact = [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for place, tokens in _parsed(text.as_py(), min_tokens):
+                for place, tokens, line in _parsed(text.as_py(), 1):
                     keys.append(key)
                     places.append(place)
-                    leaves.append(_leaf(tokens, LEAD))
-                    forms.append(_hash(" ".join(tokens)))
+                    exact.append(_hash(" ".join(line.split())))
+                    same = _DIGITS.isdisjoint(line)
+                    forms.append(None if len(tokens) < min_tokens else exact[-1] if same else _hash(" ".join(tokens)))
             types = pa.int64(), pa.int32(), pa.int64(), pa.int64()
-            columns = [pa.array(c, t) for c, t in zip((keys, places, leaves, forms), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "leaf", "form"])
+            columns = [pa.array(c, t) for c, t in zip((keys, places, forms, exact), types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "form", "exact"])
         give_back()
 
-    return docs.mapInArrow(rows, "key long, place int, leaf long, form long")
+    return docs.mapInArrow(rows, "key long, place int, form long, exact long")
 
 
 def _forms(docs: DataFrame, min_tokens: int) -> DataFrame:
@@ -164,7 +168,7 @@ def _forms(docs: DataFrame, min_tokens: int) -> DataFrame:
 
         for b in batches:
             for text in b.column(1):
-                for _, tokens in _parsed(text.as_py(), min_tokens):
+                for _, tokens, _ in _parsed(text.as_py(), min_tokens):
                     line = " ".join(tokens)
                     held[line] = held.get(line, 0) + 1
                 if len(held) >= MERGED_LINES:
@@ -225,11 +229,14 @@ def _assigned(dealt: DataFrame, alike: float, min_docs: int, max_leaf: int) -> D
 def dropped_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS
 ) -> DataFrame:
-    """One row a row of ``docs``: id_col, row_hash, n_lines, n_dropped, dropped (ascending line numbers from 0).
+    """One row a row of ``docs``: id_col, row_hash, n_lines, n_dropped, dropped, repeated (ascending line numbers from 0).
 
     A line is dropped where its template occurs in ``min_docs`` documents or more;
     rows equal in id and text are one document. Lines of fewer than ``min_tokens``
-    tokens stay. Null and empty texts have one empty line. A null id is an id.
+    tokens have no template. Of the lines that stay, ``repeated`` are those that occur
+    in a document before this one, by ``row_hash``, equal but for white space, however
+    short and in however few documents. Null and empty texts have one empty line. A
+    null id is an id.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("key"))
     texts = keyed.select("key", "text")
@@ -239,17 +246,23 @@ def dropped_lines(
     met = written(lines.select("key", "place", "form").join(known, "form").select("key", "place", "template"), "met")
     spread = met.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     often = written(spread.where(F.col("docs") >= min_docs).select("template"), "recurring")
-    gone = met.join(often, "template").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("dropped"))
+    firsts = lines.groupBy("exact").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    again = written(lines.join(written(firsts.select("exact", "first"), "repeats"), "exact").where("key <> first").select("key", "place"), "again")
+    marks = met.join(often, "template").select("key", "place", F.lit(True).alias("often")).unionAll(again.select("key", "place", F.lit(False).alias("often")))
+    places = lambda often: F.sort_array(F.collect_set(F.when(F.col("often") == often, F.col("place"))))
+    gone = marks.groupBy("key").agg(places(True).alias("dropped"), places(False).alias("repeated"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     return keyed.select("id", "key", n_lines.alias("n_lines")).join(gone, "key", "left").select(
         F.col("id").alias(id_col), F.col("key").alias("row_hash"), "n_lines",
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+        F.coalesce(F.array_except("repeated", "dropped"), F.array().cast("array<int>")).alias("repeated"),
     )
 
 
-def without_dropped(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines of ``found`` taken out of their texts; null texts stay null."""
-    gone = found.where("n_dropped > 0").groupBy("row_hash").agg(F.first("dropped").alias("__tessera_gone")).withColumnRenamed("row_hash", "__tessera_key")
+def without_dropped(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = False) -> DataFrame:
+    """``docs`` with the dropped lines of ``found`` taken out of their texts, and with ``repeats`` the repeated ones too; null texts stay null."""
+    lost = F.concat("dropped", "repeated") if repeats else F.col("dropped")
+    gone = found.where(F.size(lost) > 0).groupBy("row_hash").agg(F.first(lost).alias("__tessera_gone")).withColumnRenamed("row_hash", "__tessera_key")
     met = docs.join(gone, F.xxhash64(id_col, text_col) == F.col("__tessera_key"), "left")
     lines = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.col("__tessera_gone"), i))
     text = F.when(F.col("__tessera_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))

@@ -53,7 +53,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_templates.dropped_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"), F.array_join("repeated", ",").alias("repeated"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
