@@ -9,6 +9,11 @@ text of its own. The rules are plain regular expressions, so SQL states them too
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from importlib import resources
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,16 @@ KNOWN = (
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
 )
 
+#: Titles that some files have in the place of the one in ``licenses``.
+TITLES = {
+    "MIT": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)"), "ISC": ("The ISC License",), "0BSD": ("Zero-Clause BSD", "Zero Clause BSD License"),
+    "BSD-2-Clause": ("The 2-Clause BSD License", "The BSD 2-Clause License", "BSD License"), "BSD-3-Clause": ("The 3-Clause BSD License", "The BSD 3-Clause License", "BSD License"),
+    "Unlicense": ("Unlicense",),
+}
+#: Words of a paragraph that stands for its licence by itself; shorter ones are headings.
+PART_WORDS = 12
+_END = "END OF TERMS AND CONDITIONS"
+
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
 _NOTICES = ("copyright", "(c)", "©")
 _OTHER = r"[^\p{L}\p{N}\n]+"
@@ -64,6 +79,33 @@ def canonical(text: Column) -> Column:
     return _joined(canonical_lines(text))
 
 
+def _forms(name: str, text: str) -> Iterator[str]:
+    """A licence file, its title first, as it is found: without title or with another, with and without its appendix, numbers and reserved rights."""
+    title, body = text.split("\n\n", 1)
+    ends = [body] if _END not in body else [body, body[: body.index(_END)], body[: body.index(_END)] + _END]
+    if name.startswith("BSD-"):
+        ends.append(re.sub(r"(?m)^[ ]*[0-9][.] ", "", body))
+    for head in ("", title, *TITLES.get(name, ())):
+        for end in ends:
+            yield f"{head}\n\n{end}"
+            yield f"{head}\n\nAll rights reserved.\n\n{end}"
+
+
+def license_texts(spark: SparkSession) -> DataFrame:
+    """(license, text) of the licence files of this package: entire, and each paragraph that one licence alone has."""
+    whole: list[tuple[str, str]] = []
+    parts: dict[str, dict[str, str]] = {}
+    for file in resources.files("tessera.llm").joinpath("licenses").iterdir():
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        whole += [(name, form) for form in _forms(name, text)]
+        for part in re.split(r"\n\s*\n", text.split("\n\n", 1)[1]):
+            words = re.findall(r"[^\W_]+", part.lower())
+            if len(words) >= PART_WORDS:
+                parts.setdefault(" ".join(words), {})[name] = part
+    rows = whole + [one for found in parts.values() if len(found) == 1 for one in found.items()]
+    return spark.createDataFrame(pa.table({"license": [k for k, _ in rows], "text": [t for _, t in rows]}))
+
+
 def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
     """(digest, license) of the known texts, and of a table (license, text) of further ones, each digest once."""
     known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in KNOWN])))

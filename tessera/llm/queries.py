@@ -34,7 +34,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_digest.scan(table(spark, sf_dir, "documents"))
+    return license_digest.scan(table(spark, sf_dir, "documents"), license_digest.license_texts(spark))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
