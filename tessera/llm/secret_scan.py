@@ -31,16 +31,16 @@ REACH = 400
 
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _WEAK_ID = re.compile(
-    r"""\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""",
+    r"""(?<![A-Za-z0-9])(?<!secret_)(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account(?:_?(?:id|name))?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""",
     re.I | re.A,
 )
 _WEAK_SECRET = re.compile(
-    r"""\b(?:pass|pwd|passwd|password|secret|secret_?key|client_?secret|auth|private_?key|signature|token)["']?\x20*[:=]\x20*["']?([^\s"',;]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pass|pwd|passwd|password|secret|secret_?(?:access_?)?key|client_?secret|account_?key|auth|private_?key|signature|token)["']?\x20*[:=]\x20*["']?([^\s"',;]{6,})""",
     re.I | re.A,
 )
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(
-    r"""\b[a-z][a-z0-9+]{1,14}://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b|\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d{1,5})?""",
+    r"""\b[a-z][a-z0-9+]{1,14}://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b|(?<![A-Za-z0-9])(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d{1,5})?""",
     re.I | re.A,
 )
 _BREAK = re.compile(r"\n[\x20\t]*\n")
@@ -90,7 +90,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     named = (Span(m.start(), 4, m.end()) for m in _WEAK_SECRET.finditer(text))
     opaque = (Span(m.start(), 4, m.end()) for m in _OPAQUE.finditer(text))
     secrets = _free([*named, *opaque], [*base, *ids])
-    strong_secrets = [s for s in base if s.rank == 0]
+    strong_secrets = [s for s in base if s.rank in (0, 2)]
     if not secrets and not strong_secrets:
         return []
     ends = _free((Span(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)), [*base, *ids, *secrets])
