@@ -18,12 +18,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,9 +38,11 @@ FIT = 0.95
 #: A file closes with the document that reaches this many ids; its image then stays below
 #: half of the smallest heap region, from which on the JVM gives a value regions of its own.
 FILE_IDS = 1 << 17
-#: Distinct pieces whose ids a worker remembers, texts that it encodes at once, and words that it joins.
-CACHE_PIECES = 400_000
-TEXTS = 16
+#: Pieces of a worker's memory, bytes of the longest one that it holds, bytes of text that
+#: are encoded at once (one text at least), and words that are joined for the library.
+CACHE_PIECES = 300_000
+CACHE_BYTES = 64
+SLICE_BYTES = 4 << 20
 JOINED = 50
 _MAGIC = b"PFB1"
 _HEAD = np.dtype([("block", "<u4"), ("ids", "<u8"), ("docs", "<u4"), ("blocks", "<u4"), ("payload", "<u8"), ("exceptions", "<u4")])
@@ -49,7 +51,6 @@ _INDEX = np.dtype([("offset", "<u8"), ("least", "<u4"), ("width", "u1"), ("excep
 _EXCEPTION = np.dtype([("place", "<u2"), ("rest", "<u4")])
 #: A space before another character always begins a new piece of the pre-tokenizer, whatever stands before it.
 _CUT = re.compile(r"(?= \S)")
-_ODD = re.compile(r" (?:\s|$)")
 
 
 @lru_cache(maxsize=2)
@@ -61,22 +62,14 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name) if not os.path.isabs(name) else name)
 
 
-class _Known(dict):
-    """Ids by piece; notes the pieces that it is asked for in vain and gives None for them."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.asked: list[str] = []
-
-    def __missing__(self, piece: str) -> None:
-        self.asked.append(piece)
-
-
 class Encoder:
     """Encodes whole texts with a byte-level BPE file; remembers the ids of pieces between cut points.
 
-    The first ``CACHE_PIECES`` distinct pieces stay, so that frequent ones do; where
-    half of the last million or so were unknown to a full memory, it starts anew.
+    The texts of a slice are split by Arrow and their pieces numbered by Arrow's
+    dictionary, a full stop or comma after a letter apart, so that each distinct piece
+    of a slice is looked up once and only unknown ones become Python strings; numpy
+    gathers the ids of all occurrences. The memory is an Arrow array of pieces with
+    their ids side by side. Where it is over ``CACHE_PIECES``, the half met least goes.
     """
 
     def __init__(self, name: str) -> None:
@@ -85,88 +78,180 @@ class Encoder:
         vocabulary = tokenizer.get_vocab()
         self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
         self._spaced[[k for token, k in vocabulary.items() if token.startswith("Ġ")]] = True
-        self._known = _Known()
-        self._seen = self._missed = 0
-        self._marks = dict(zip(".,", self._encoded([".", ","]), strict=True))
+        self._marks = self._encoded([".", ","])
+        self._pieces = pa.array([], pa.string())
+        self._known = Listed.of([])
+        self._met = np.zeros(0, np.int64)
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", c.ids).tobytes() for c in self._library(pieces, add_special_tokens=False)]
+    def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(c.ids, np.uint32) for c in self._library(pieces, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
+    def _words(self, words: list[str]) -> Listed:
         """Ids of words, each after a space. Words are joined and their ids parted again where a token begins
         with a space, as the library takes far longer for many short texts; a word with a space goes alone."""
-        joined = [w for w in words if " " not in w]
-        alone = [w for w in words if " " in w]
+        joined = [i for i, w in enumerate(words) if " " not in w]
         chunks = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        got: dict[str, bytes] = {}
-        for chunk, packed in zip(chunks, self._encoded([" " + " ".join(c) for c in chunks]), strict=True):
-            starts = np.flatnonzero(self._spaced[np.frombuffer(packed, np.uint32)])
-            if len(starts) != len(chunk):
-                alone += chunk
-                continue
-            ends = (4 * np.append(starts, len(packed) // 4)).tolist()
-            got.update((w, packed[a:b]) for w, a, b in zip(chunk, ends, ends[1:], strict=False))
-        if alone:
-            got.update(zip(alone, self._encoded([" " + w for w in alone]), strict=True))
-        return got
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of unknown pieces, each after a space."""
-        known, marks = self._known, self._marks
-        got: dict[str, bytes] = {}
-        new: dict[str, str] = {}
-        for p in pieces:
-            if p[-1] in marks and p[-2:-1].isalpha():  # a mark after a letter is a piece of its own
-                stem = p[:-1]
-                if (c := known.get(stem)) is not None:
-                    got[p] = c + marks[p[-1]]
-                else:
-                    new[p] = stem
-            else:
-                new[p] = p
-        stems = list(dict.fromkeys(new.values()))
-        coded = self._words(stems)
-        got.update(coded)
-        for p, stem in new.items():
-            if p != stem:
-                got[p] = coded[stem] + marks[p[-1]]
-        if len(known) < CACHE_PIECES:
-            known.update(got)
-        else:
-            self._missed += len(stems)
-        return got
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; pieces that are new to any of them go to the library in one call."""
-        if self._seen > 1 << 20:
-            if 2 * self._missed > self._seen:
-                self._known.clear()
-            self._seen = self._missed = 0
-        known = self._known
-        firsts: list[str] = []
-        found: list[tuple[list[str], list[bytes | None], bool]] = []
-        for text in texts:
-            if _ODD.search(text):
-                first, *rest = _CUT.split(text)
-                rest = [p[1:] for p in rest]
-            else:
-                first, *rest = text.split(" ")
-            before = len(known.asked)
-            coded = list(map(known.__getitem__, rest))
-            self._seen += len(rest)
-            firsts.append(first)
-            found.append((rest, coded, len(known.asked) > before))
-        missing, known.asked = set(known.asked), []
-        got = self._learn(missing) if missing else {}
-        out = []
-        for head, (rest, coded, lacks) in zip(self._encoded(firsts), found, strict=True):
-            if lacks:
-                coded = [got[p] if c is None else c for p, c in zip(rest, coded, strict=True)]
-            out.append(np.frombuffer(head + b"".join(coded), np.uint32))
+        packed = self._encoded([" " + " ".join([words[i] for i in c]) for c in chunks])
+        fits = [int(self._spaced[x].sum()) == len(c) for c, x in zip(chunks, packed, strict=True)]
+        together = [i for c, ok in zip(chunks, fits, strict=True) if ok for i in c]
+        single = sorted(set(range(len(words))).difference(together))
+        flat = np.concatenate([np.zeros(0, np.uint32), *(x for x, ok in zip(packed, fits, strict=True) if ok)])
+        starts = np.flatnonzero(self._spaced[flat])
+        found = Listed(flat, np.diff(np.append(starts, len(flat)))).plus(Listed.of(self._encoded([" " + words[i] for i in single])))
+        return found.take(np.argsort(together + single, kind="stable"))
+
+    def _coded(self, pieces: pa.Array, counts: np.ndarray) -> Listed:
+        """Ids of distinct pieces that occur ``counts`` times, each after a space."""
+        ends, raw = _raw(pieces)
+        last = raw[np.maximum(ends - 1, 0)]
+        before, lead = raw[np.maximum(ends - 2, 0)], raw[np.maximum(ends - 3, 0)]
+        size = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+        # Latin letters of one or two bytes; after them a mark is a piece of its own
+        letter = ((before | 32) >= 0x61) & ((before | 32) <= 0x7A)
+        letter |= (size > 2) & (lead == 0xC3) & (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7)
+        marked = (size > 1) & letter & ((last == 0x2E) | (last == 0x2C))
+        plain, stemmed = np.flatnonzero(~marked), np.flatnonzero(marked)
+        stems = pa.concat_arrays([pieces.take(pa.array(plain)), pc.utf8_slice_codeunits(pieces.take(pa.array(stemmed)), 0, -1)])
+        numbered = stems.dictionary_encode()
+        codes = np.empty(len(pieces), np.int64)
+        codes[np.concatenate((plain, stemmed))] = numbered.indices.to_numpy()
+        stems = numbered.dictionary
+        met = np.bincount(codes, counts, len(stems)).astype(np.int64)
+        slots = pc.fill_null(pc.index_in(stems, value_set=self._pieces), -1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(slots < 0)
+        slots[unknown] = len(self._known) + np.arange(len(unknown))
+        np.add.at(self._met, slots[slots < len(self._met)], met[slots < len(self._met)])
+        missing = stems.take(pa.array(unknown))
+        every = self._known.plus(self._words(missing.to_pylist()))
+        every = every.plus(Listed.of(self._marks))
+        pairs = np.full(2 * len(pieces), -1, np.int64)
+        pairs[::2] = slots[codes]
+        pairs[1::2][marked] = np.where(last[marked] == 0x2E, len(every) - 2, len(every) - 1)
+        out = every.groups(pairs[pairs >= 0], 1 + marked)
+        self._remember(missing, every, met[unknown])
         return out
 
+    def _remember(self, missing: pa.Array, every: Listed, met: np.ndarray) -> None:
+        """Add ``missing``, whose ids follow the known ones in ``every``, less pieces that are long."""
+        short = np.flatnonzero(pc.binary_length(missing).to_numpy(zero_copy_only=False) <= CACHE_BYTES)
+        held = np.concatenate((np.arange(len(self._known)), len(self._known) + short))
+        pieces = pa.concat_arrays([self._pieces, missing.take(pa.array(short))])
+        counts = np.concatenate((self._met, met[short]))
+        if len(held) > CACHE_PIECES:
+            often = np.sort(np.argsort(-counts, kind="stable")[: CACHE_PIECES // 2])
+            held, pieces, counts = held[often], pieces.take(pa.array(often)), counts[often] // 2
+        self._pieces, self._known, self._met = pieces, every.take(held), counts
+
+    def slice(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all ``texts`` in turn, number of ids of each); with ``end`` that id closes each text."""
+        split = pc.split_pattern(texts, " ")
+        n, bounds = len(texts), split.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        numbered = split.flatten().dictionary_encode()
+        codes, pieces = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary
+        firsts = codes[bounds[:-1]]
+        counts = np.bincount(codes, minlength=len(pieces)) - np.bincount(firsts, minlength=len(pieces))
+        odd = _odd(pieces)
+        if counts[odd].any():  # a space before white space or at the end is no cut point
+            inner = odd[codes]
+            inner[bounds[:-1]] = False
+            return self._with_odd(texts, np.unique(np.searchsorted(bounds, np.flatnonzero(inner), "right") - 1), end)
+        wanted = np.flatnonzero(counts)
+        place = np.zeros(len(pieces), np.int64)
+        place[wanted] = np.arange(len(wanted))
+        coded = self._coded(pieces.take(pa.array(wanted)), counts[wanted]).plus(Listed.of(self._encoded(pieces.take(pa.array(firsts)).to_pylist())))
+        codes = place[codes]
+        codes[bounds[:-1]] = len(wanted) + np.arange(n)
+        if end is not None:
+            codes = np.insert(codes, bounds[1:], len(coded))
+            coded = coded.plus(Listed.of([np.array([end], np.uint32)]))
+            bounds = bounds + np.arange(n + 1)
+        got = coded.groups(codes, np.diff(bounds))
+        return got.flat, got.sizes
+
+    def _with_odd(self, texts: pa.Array, whole: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """``slice`` where the texts at ``whole`` hold spaces that are no cut points."""
+        plain = np.setdiff1d(np.arange(len(texts)), whole)
+        closing = [] if end is None else [np.array([end], np.uint32)]
+        found = Listed(*self.slice(texts.take(pa.array(plain)), end)) if len(plain) else Listed.of([])
+        for k in whole.tolist():
+            first, *rest = _CUT.split(texts[k].as_py())
+            numbered = pa.array([p[1:] for p in rest], pa.string()).dictionary_encode()
+            codes = numbered.indices.to_numpy().astype(np.int64)
+            coded = self._coded(numbered.dictionary, np.bincount(codes, minlength=len(numbered.dictionary)))
+            ids = np.concatenate([*self._encoded([first]), coded.groups(codes, np.array([len(codes)])).flat, *closing])
+            found = found.plus(Listed.of([ids]))
+        ordered = found.take(np.argsort(np.concatenate((plain, whole)), kind="stable"))
+        return ordered.flat, ordered.sizes
+
     def __call__(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
+        return self.slice(pa.array([text], pa.string()))[0]
+
+
+class Listed:
+    """Lists of ids, one after another in one array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes = flat, sizes.astype(np.int64)
+
+    @classmethod
+    def of(cls, lists: list[np.ndarray]) -> Listed:
+        return cls(np.concatenate([np.zeros(0, np.uint32), *lists]), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def plus(self, other: Listed) -> Listed:
+        return Listed(np.concatenate((self.flat, other.flat)), np.concatenate((self.sizes, other.sizes)))
+
+    def take(self, which: np.ndarray) -> Listed:
+        return self.groups(which, np.ones(len(which), np.int64))
+
+    def groups(self, which: np.ndarray, many: np.ndarray) -> Listed:
+        """The lists ``which`` in turn, so ``many`` of them joined each time."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[which]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.repeat(starts[which] - ends[:-1], sizes)
+        at += np.arange(len(at))
+        return Listed(self.flat[at], np.diff(ends[np.concatenate(([0], np.cumsum(many)))]))
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(end of each text, bytes) of a string array; one byte at least, so that an empty array can be asked."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    return ends[1:], np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(1, np.uint8)
+
+
+def _odd(pieces: pa.Array) -> np.ndarray:
+    """Whether each piece is empty or begins with white space."""
+    ends, raw = _raw(pieces)
+    sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+    first = raw[np.minimum(ends - sizes, len(raw) - 1)]
+    odd = (sizes == 0) | ((first >= 9) & (first <= 13)) | ((first >= 28) & (first <= 32))
+    rest = np.flatnonzero((sizes > 0) & np.isin(first, (0xC2, 0xE1, 0xE2, 0xE3)))  # first bytes of other white space
+    odd[rest] = [p[0].isspace() for p in pieces.take(pa.array(rest)).to_pylist()]
+    return odd
+
+
+def _slices(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` (id, text) in turn, in batches that hold ``size`` bytes of text with their last row or at the end."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size - total)) + 1
+            held.append(b.slice(at, upto - at))
+            total += int(ends[min(upto, b.num_rows) - 1] - (ends[at - 1] if at else 0))
+            at = upto
+            if total >= size:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 @lru_cache(maxsize=2)
@@ -271,7 +356,7 @@ def write_files(
         from pyspark import TaskContext
 
         part, file = TaskContext.get().partitionId(), 0
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4")
+        encode = encoder(tokenizer)
         ids: list[np.ndarray] = []
         listed: list[tuple[int | None, int]] = []
         size = 0
@@ -283,16 +368,18 @@ def write_files(
                 ["part", "file", "n_ids", "image"],
             )
 
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                some = b.slice(at, TEXTS)
-                for doc, got in zip(some.column(0).to_pylist(), encode.many(some.column(1).to_pylist()), strict=True):
-                    ids += [got, end]
-                    listed.append((doc, len(got) + 1))
-                    size += len(got) + 1
-                    if size >= FILE_IDS:
-                        yield close()
-                        ids, listed, size, file = [], [], 0, file + 1
+        for some in _slices(batches, SLICE_BYTES):
+            got, sizes = encode.slice(some.column(1), end_id)
+            began = 0
+            for doc, upto, k in zip(some.column(0).to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                listed.append((doc, k))
+                size += k
+                if size >= FILE_IDS:
+                    ids.append(got[began:upto])
+                    yield close()
+                    ids, listed, size, file, began = [], [], 0, file + 1, upto
+            if began < len(got):
+                ids.append(got[began:])
         if listed:
             yield close()
         del ids, listed
