@@ -7,7 +7,8 @@ logistic curve, fitted on labelled rows that no dictionary has seen, turns the
 difference into a score between 0 and 1.
 
 Labels come from a bounded sample of labelled rows (``per_class`` rows of each
-class, those of smallest hash); every row is scored, over its whole text.
+class, those of smallest hash); of a long text the sample takes pieces spread evenly
+over all of it. Every row is scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of a class that the fit may take, and the longest text, in characters, that it takes.
+from tessera.plans.storage import written
+
+#: Labelled rows of a class that the fit may take, and the characters of a text that it takes, in so many pieces.
 PER_CLASS = 3000
 SAMPLE_CHARS = 20_000
+SAMPLE_PIECES = 20
 DICTIONARY_BYTES = 48 << 10
 CHUNK_BYTES = 1024
 LEVEL = 3
@@ -92,14 +96,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
+def spread(text: Column, chars: int = SAMPLE_CHARS, pieces: int = SAMPLE_PIECES) -> Column:
+    """A text of up to ``chars`` characters as it is; of a longer one that many, in pieces from its first character to its last."""
+    size = chars // pieces
+    room = F.length(text) - size
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * room / (pieces - 1)).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(parts, ""))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", per_class: int = PER_CLASS
 ) -> Model:
     """A model from ``docs`` and rows (id_col, label_col) with labels of 1 (good) or 0 (bad); others are passed over.
 
-    Of each class the ``per_class`` ids of smallest hash are taken, and of them the
-    texts of ``SAMPLE_CHARS`` characters or fewer; this bounded list of ids alone is
-    joined to the documents, by broadcast. Two thirds of the texts make the
+    Of each class the ``per_class`` ids of smallest hash are taken; this bounded list
+    alone is joined to the documents, by broadcast. Where ids repeat, ``per_class``
+    rows of each class stay, those of smallest hash of their text; a row counts once
+    for each of its labels. Of a text ``spread`` is taken. Two thirds of the texts make the
     dictionary, the others the calibration, weighted to the classes' shares among all
     labels. A missing class leaves a model that scores every text with the share of
     good rows.
@@ -108,11 +121,12 @@ def fit(
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
-    picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where((F.col("t") != "") & (F.length("t") <= SAMPLE_CHARS))
-    found = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "i").select("y", "t", F.xxhash64("t").alias("h"))
-    some = found.orderBy("h", "t").limit(2 * per_class).collect()
-    taken: dict[int, list[str]] = {y: [r["t"] for r in some if r["y"] == y] for y in (0, 1)}
+    once = rows.distinct()
+    picked = [once.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t") != "")
+    found = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "i").select("y", spread(F.col("t")).alias("t"), F.xxhash64("t").alias("h"))
+    kept = written(found, "labelled")  # read once for each class
+    taken: dict[int, list[str]] = {y: [r["t"] for r in kept.where(F.col("y") == y).orderBy("h", "t").limit(per_class).collect()] for y in (0, 1)}
     if not taken[0] or not taken[1]:
         return Model(b"\n" * 16, b"\n" * 16, 0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), prior)
     parts = {y: (ts[: max(1, 2 * len(ts) // 3)], ts[2 * len(ts) // 3 :] or ts) for y, ts in taken.items()}
@@ -126,7 +140,11 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = PREDICT_FROM) -> DataFrame:
-    """(id_col, score, predicted) of every row; null and empty texts get the share of good labels."""
+    """(id_col, score, predicted) of every row; null and empty texts get the share of good labels.
+
+    A score depends on the text alone, so repeated rows score alike; one equal to
+    ``cut`` is predicted 1. Other columns are not read.
+    """
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

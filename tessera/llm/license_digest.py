@@ -54,14 +54,18 @@ TITLES = {
 PART_WORDS = 12
 _END = "END OF TERMS AND CONDITIONS"
 
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
+#: Copyright lines in lower case: with a year, or with a mark; and those of a line with names of two words or more alone, as written.
+_COPYRIGHT = r"(^|\n)[ \t]*((copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*|(copyright[ \t]*(\(c\)|©)|©)[^\n]*)"
+_NAME = r"\p{Lu}[\p{L}0-9.,'-]*"
+_NAMED = rf"^[ \t]*Copyright:?[ \t]+((by|the|of)[ \t]+)*{_NAME}([ \t]+(and|of|the|&|{_NAME}|<[^<>\n]*>))+[ \t]*$"
 _NOTICES = ("copyright", "(c)", "©")
 _OTHER = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form of each line, in order; null gives one empty line."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    given = F.coalesce(text, F.lit(""))
+    low = F.lower(F.when(F.contains(given, F.lit("Copyright")), F.regexp_replace(given, "(?md)" + _NAMED, "")).otherwise(given))
     named = F.contains(low, F.lit(_NOTICES[0])) | F.contains(low, F.lit(_NOTICES[1])) | F.contains(low, F.lit(_NOTICES[2]))
     plain = F.when(named, F.regexp_replace(low, _COPYRIGHT, "\n")).otherwise(low)
     spaced = F.concat(F.lit(" "), F.replace(F.regexp_replace(plain, _OTHER, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
@@ -71,7 +75,12 @@ def canonical_lines(text: Column) -> Column:
 
 
 def _joined(lines: Column) -> Column:
-    return F.array_join(F.array_remove(lines, ""), "  ")
+    """One text of several lines; spellings of several words count across line ends too."""
+    whole = F.concat(F.lit(" "), F.array_join(F.array_remove(lines, ""), "  "), F.lit(" "))
+    for old, new in SPELLINGS:
+        if " " in old:
+            whole = F.replace(whole, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.trim(whole)
 
 
 def canonical(text: Column) -> Column:
@@ -147,13 +156,20 @@ def oracle_sql() -> str:
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
     def lines(text: str) -> str:
-        plain = f"regexp_replace(lower(coalesce({text}, '')), {quoted(_COPYRIGHT)}, chr(10), 'g')"
+        low = f"lower(regexp_replace(coalesce({text}, ''), {quoted('(?m)' + _NAMED)}, '', 'g'))"
+        plain = f"regexp_replace({low}, {quoted(_COPYRIGHT)}, chr(10), 'g')"
         spaced = f"' ' || replace(regexp_replace({plain}, {quoted(_OTHER)}, '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
         for old, new in SPELLINGS:
             spaced = f"replace({spaced}, {quoted(f' {old} ')}, {quoted(f' {new} ')})"
         return f"list_transform(string_split({spaced}, chr(10)), lambda x: trim(x))"
 
-    joined = lambda ls: f"array_to_string(list_filter({ls}, lambda y: y <> ''), '  ')"
+    def joined(ls: str) -> str:
+        whole = f"' ' || array_to_string(list_filter({ls}, lambda y: y <> ''), '  ') || ' '"
+        for old, new in SPELLINGS:
+            if " " in old:
+                whole = f"replace({whole}, {quoted(f' {old} ')}, {quoted(f' {new} ')})"
+        return f"trim({whole})"
+
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
     return f"""
     WITH known AS (SELECT sha256({joined(lines("t"))}) AS digest, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1),

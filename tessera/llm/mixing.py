@@ -5,7 +5,9 @@ which is cut into blocks of equal length. Slot i of the schedule is the point
 frac(i * golden ratio); mapped through the cumulative shares of the sources it
 names a source, and its rank among that source's slots names the block: rank r
 takes block r mod n in epoch r div n. Joining slots to blocks and blocks to
-documents gives what the mix takes of each document.
+documents gives what the mix takes of each document, and in which slots. The
+points alone decide: a source gets the slots whose points fall in its interval, so
+its words are as near its target as the sequence's discrepancy, a few blocks.
 
 No source is ever gathered in one task: positions in a stream come from sums
 over hash buckets and a running sum within a bucket, ranks from counts over
@@ -21,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import row_key
 from tessera.plans.storage import written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BLOCK_WORDS = 1024
+BLOCK_WORDS = 64
 SEED = 20
 #: Rows of a bucket of a source's stream, and slots of a chunk, on average.
 BUCKET_ROWS = 20_000
@@ -73,69 +76,58 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     return chosen.select("source", "source_no", "weight", "source_size", target.alias("target"))
 
 
-def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, source_no, rank, block, words): the mix's blocks in order.
+def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(slot, source_no, rank, block): the mix's blocks in order.
 
-    A source's last slot takes only the words still missing to its target. After
-    as many points as there are slots, a source is a few slots over or under its
-    number: those over go, those missing follow at the end.
+    A source's interval is as long as the slots that its target needs; there are as
+    many points as slots in all, to the nearest one. A source's slots beyond
+    ``max_epochs`` times its blocks stay unused.
     """
-    goal = F.round("target").cast("long")
-    rest = F.pmod(goal, F.greatest("source_size", F.lit(1)))
-    planned = sources.where("source_size > 0").select(
-        "source_no", "source_size", goal.alias("goal"),
-        F.ceil(F.col("source_size") / block_words).cast("long").alias("blocks"),
-        (F.floor(goal / F.col("source_size")) * F.ceil(F.col("source_size") / block_words) + F.ceil(rest / block_words)).cast("long").alias("slots"),
+    planned = sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long")).select(
+        "source_no", "blocks", (F.col("target") / F.col("source_size") * F.col("blocks")).alias("width")
     )
-    planned = written(planned.where("slots > 0"), "mix-plan")
-    total = planned.agg(F.sum("slots")).first()[0] or 0
-    running = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)
+    planned = written(planned.where("width > 0"), "mix-plan")
+    total = planned.agg(F.sum("width")).first()[0] or 0.0
+    running = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)  # one row a source
+    spans = planned.withColumn("high", F.sum("width").over(running)).withColumn("low", F.lag("high", 1, 0.0).over(W.orderBy("source_no")))
     cells = 4096
-    spans = planned.withColumn("high", F.sum("slots").over(running)).withColumn("low", F.col("high") - F.col("slots"))
+    cell = lambda x: F.least(F.floor(x * (cells / total if total else 0.0)), F.lit(cells - 1))
     # a share's interval of [0, total) is listed for each grid cell it touches, so that points find it by an equi-join
-    grid = spans.select(
-        "source_no", "low", "high",
-        F.explode(F.sequence(F.floor(F.col("low") * cells / total), F.least(F.floor(F.col("high") * cells / total), F.lit(cells - 1)))).alias("cell"),
-    ) if total else spans.select("source_no", "low", "high", F.lit(0).cast("long").alias("cell"))
-    point = golden_point(F.col("id")) * float(total)
-    points = planned.sparkSession.range(total).select(
-        F.col("id").alias("slot"), point.alias("point"), F.floor(point * cells / max(total, 1)).alias("cell")
-    )
+    grid = spans.select("source_no", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    point = golden_point(F.col("id")) * total
+    points = planned.sparkSession.range(round(total)).select(F.col("id").alias("slot"), point.alias("point"), cell(point).alias("cell"))
     dealt = points.join(grid, "cell").where("point >= low AND point < high").select(
-        "slot", "source_no", F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk")
+        "slot", "source_no", "blocks", F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk")
     )
     counts = dealt.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("source_no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    bases = counts.select("source_no", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     within = F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("slot")) - 1
-    ranked = dealt.join(bases, ["source_no", "chunk"]).select("slot", "source_no", (F.col("base") + within).alias("rank"))
-    have = counts.groupBy("source_no").agg(F.sum("n").alias("have"))
-    short = planned.join(have, "source_no", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).where("have < slots")
-    missing = short.select(
-        F.lit(total).alias("slot"), "source_no", F.explode(F.sequence("have", F.col("slots") - 1)).alias("rank")
-    )
-    filled = ranked.unionByName(missing).join(planned, "source_no").where("rank < slots")
-    block, epoch = F.pmod("rank", F.col("blocks")), F.floor(F.col("rank") / F.col("blocks"))
-    length = F.least(F.lit(block_words), F.col("source_size") - block * block_words)
-    left = F.col("goal") - epoch * F.col("source_size") - block * block_words
-    return filled.select("slot", "source_no", "rank", block.alias("block"), F.least(length, left).alias("words"), length.alias("block_len"))
+    ranked = dealt.join(bases, ["source_no", "chunk"]).withColumn("rank", F.col("base") + within)
+    used = ranked.where(F.col("rank") < max_epochs * F.col("blocks"))
+    return used.select("slot", "source_no", "rank", F.pmod("rank", F.col("blocks")).alias("block"))
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS, seed: int = SEED,
 ) -> DataFrame:
-    """One row a row of ``docs``: id_col, size, source_size, target, taken, row_hash.
+    """One row a row of ``docs``: id_col, size, source_size, target, taken, first_slot, slots, last_slot, row_hash.
 
     ``taken`` counts the words that the schedule takes of the document, repeats
-    included. Null and empty texts have size 0 and give nothing; a null source is a
-    source of its own; repeated rows are documents of their own. The order of a
-    stream depends on the seed, ids and texts alone, so reruns agree; rows equal in
-    all of them are interchangeable.
+    included; it never exceeds ``max_epochs`` times the size. ``slots`` are those of
+    the block in which the document begins, one a use; ``first_slot`` and
+    ``last_slot`` bound all in which it is taken. ``row_hash`` is ``row_key``. Null and
+    empty texts have size 0 and give nothing; a null source is a source of its own;
+    repeated rows are documents of their own. The order of a stream depends on the
+    seed, ids, texts and sources alone, so reruns agree; rows equal in all of them are
+    interchangeable.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
     sized = written(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")),
+        docs.select(
+            F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), row_key(docs).alias("row")
+        ),
         "mix-sizes",
     )
     sources = written(targets(sized, weights, max_epochs), "mix-sources")
@@ -146,35 +138,38 @@ def mix(
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     earlier = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    order = W.partitionBy("source_no", "bucket").orderBy("key", "id", "size")
+    order = W.partitionBy("source_no", "bucket").orderBy("key", "id", "size", "row")
     placed = rows.join(bases, ["source_no", "bucket"]).withColumn("nth", F.row_number().over(order)).withColumn(
         "start", F.col("base") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     )
-    plan = schedule(sources, block_words)
-    uses = plan.groupBy("source_no", "block").agg(
-        F.count(F.when(F.col("words") == F.col("block_len"), 1)).alias("full"),
-        F.coalesce(F.max(F.when(F.col("words") < F.col("block_len"), F.col("words"))), F.lit(0)).alias("part"),
-    )
-    blocks = F.when(
-        F.col("size") > 0,
-        F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)),
-    )
-    pieces = placed.withColumn("block", F.explode_outer(blocks))
+    uses = schedule(sources, block_words, max_epochs).groupBy("source_no", "block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))  # one a use, few
+    first_block = F.floor(F.col("start") / block_words)
+    blocks = F.when(F.col("size") > 0, F.sequence(first_block, F.floor((F.col("start") + F.col("size") - 1) / block_words)))
+    pieces = placed.withColumn("first_block", first_block).withColumn("block", F.explode_outer(blocks))
     a = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     b = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
-    part = F.greatest(F.least(b, F.col("part")) - a, F.lit(0))
-    got = pieces.join(uses, ["source_no", "block"], "left").withColumn(
-        "got", F.coalesce(F.col("full") * (b - a) + part, F.lit(0))
-    )
-    taken = got.groupBy("source_no", "bucket", "nth", "key", "id", "size", "source_size", "target").agg(F.sum("got").alias("taken"))
-    return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.col("key").alias("row_hash"))
+    got = pieces.join(uses, ["source_no", "block"], "left")
+    n = F.coalesce(F.size("slots"), F.lit(0))
+    taken = got.groupBy("source_no", "bucket", "nth", "key", "row", "id", "size", "source_size", "target").agg(
+        F.sum(F.when(n > 0, n * (b - a)).otherwise(0)).alias("taken"), F.min(F.get("slots", F.lit(0))).alias("first_slot"),
+        F.max(F.when(F.col("block") == F.col("first_block"), F.col("slots"))).alias("slots"), F.max(F.get("slots", n - 1)).alias("last_slot"),
+    )
+    return taken.select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot",
+        F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"), "last_slot", F.col("row").alias("row_hash"),
+    )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as the mix takes them: each document as many times as its taken words, to the nearest whole copy."""
+    """``docs`` as the mix takes them: each document as many times as its taken words, to the nearest whole copy, in slot order.
+
+    A copy stands at the slot that takes the document's beginning, a further one at
+    the last slot that takes of it; partitions hold ascending ranges of slots. Rows
+    are told apart by all their columns, and rows equal in all come as often as they do.
+    """
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    found = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__tessera_id"), F.col("row_hash").alias("__tessera_key")).agg(F.sum(copies).cast("int").alias("__tessera_n"))
-    keyed = docs.withColumn("__tessera_hash", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
-    met = keyed.join(found.where("__tessera_n > 0"), keyed[id_col].eqNullSafe(F.col("__tessera_id")) & (F.col("__tessera_hash") == F.col("__tessera_key")))
-    once = met.dropDuplicates([id_col, "__tessera_hash"])
-    return once.withColumn("__tessera_copy", F.explode(F.array_repeat(F.lit(1), F.col("__tessera_n")))).select(*docs.columns)
+    at = F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.coalesce(F.get("slots", k), F.col("last_slot")))
+    found = mix(docs, id_col, text_col, source_col).where(copies > 0).groupBy(F.col("row_hash").alias("__tessera_key")).agg(F.flatten(F.collect_list(at)).alias("__tessera_at"))
+    once = docs.withColumn("__tessera_row", row_key(docs)).dropDuplicates(["__tessera_row"])
+    met = once.join(found, F.col("__tessera_row") == F.col("__tessera_key")).withColumn("__tessera_slot", F.explode("__tessera_at"))
+    return met.repartitionByRange("__tessera_slot").sortWithinPartitions("__tessera_slot", "__tessera_row").select(*docs.columns)

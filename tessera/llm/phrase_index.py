@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.workers import BATCH_ROWS, give_back
+from tessera.llm.workers import BATCH_ROWS, give_back, row_key
 from tessera.plans.storage import written
 
 WINDOW_WORDS = 10
@@ -285,8 +285,8 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in _HITS.split(", ")]).astype({"doc_id": "Int64"})
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which a benchmark phrase occurs; rows without an id cannot be named and stay."""
-    found = decontaminate(docs, items, id_col, text_col)
-    bad = found.where("contaminated").select(F.col(id_col).alias("__tessera_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__tessera_bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents in which a benchmark phrase occurs; rows are told apart by all their columns, so ids may be null or repeat."""
+    keyed = docs.withColumn("__tessera_key", row_key(docs))
+    bad = decontaminate(keyed, items, "__tessera_key", text_col).where("contaminated").select(F.col("__tessera_key").alias("__tessera_bad")).distinct()
+    return keyed.join(bad, F.col("__tessera_key") == F.col("__tessera_bad"), "left_anti").select(*docs.columns)

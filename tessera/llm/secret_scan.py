@@ -31,7 +31,7 @@ REACH = 400
 
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _WEAK_ID = re.compile(
-    r"""(?<![A-Za-z0-9])(?<!secret_)(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account(?:_?(?:id|name))?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""",
+    r"""(?<![A-Za-z0-9])(?<!secret_)(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account(?:_?(?:id|name))?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""",
     re.I | re.A,
 )
 _WEAK_SECRET = re.compile(
@@ -40,7 +40,7 @@ _WEAK_SECRET = re.compile(
 )
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(
-    r"""\b[a-z][a-z0-9+]{1,14}://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b|(?<![A-Za-z0-9])(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d{1,5})?""",
+    r"""\b[a-z][a-z0-9+]+://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b|(?<![A-Za-z0-9])(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d{1,5})?""",
     re.I | re.A,
 )
 _BREAK = re.compile(r"\n[\x20\t]*\n")
@@ -123,7 +123,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
     ``spans`` lists kind:start:end of base and linked spans by start, then kind,
     comma-joined; ``base_sha256`` digests that list of base spans. Null texts are
-    empty and have no spans; repeated rows give equal rows.
+    empty and have no spans; repeated rows give equal rows. A text of any length is
+    scanned whole, in time in proportion to it; other columns are not read.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,20 +3,27 @@
 A 64-bit fingerprint is cut into 32 segments of two bits; its embedding is the
 vector of their bit counts. One differing bit moves one coordinate by one at
 most, so the Manhattan distance of two embeddings never exceeds the Hamming
-distance of the fingerprints. Fingerprints within three bits therefore lie
-within Manhattan distance three, and in one of the two 16-coordinate halves
-within distance one. Each half is a grid with a cell per vector: a fingerprint
-is at home in two cells and probes its own cell and those one step up in one
-coordinate, so every pair within distance one in a half meets in one cell. The
-equi-join on cells is followed by the Manhattan bound and the exact test.
+distance of the fingerprints. The coordinates form eight blocks of four. Two
+fingerprints within three bits differ in three blocks at most, so they share a
+grid cell of the other five; a fingerprint lies in one cell for each choice of five
+blocks (56), of about 30 bits of entropy. The equi-join on cells is followed by the
+Manhattan bound and the exact test; a pair counts in the first cell that it shares.
 
 Exact copies and equal fingerprints are merged before the join, so it sees each
 fingerprint once, whatever the size of a group of copies.
+
+``keep_one``, a filter without a contract of its own, takes five words and a
+similarity of 0.8: fingerprints of five-word shingles within three bits are linked
+as above, and pairs further apart are sought by a wide fingerprint of 128 bits over
+distinct words, in seeded grid cells of one-bit segments, and linked where their
+five-word Jaccard similarity, counted exactly, is 0.8 or more.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +31,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.workers import BATCH_ROWS, give_back
+from tessera.llm.workers import BATCH_ROWS, give_back, row_key
 from tessera.operators.graph import connected_components
 from tessera.plans.storage import written
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 3
-_EVEN = 0x55555555
+#: Blocks of the 32 coordinates.
+BLOCKS = 8
+#: The filter's shingles and similarity; bits of its wide fingerprint that may differ, its cells, and bits of a cell.
+NEAR_WORDS = 5
+ALIKE = 0.8
+WIDE_DISTANCE = 24
+CELLS = 64
+CELL_BITS = 32
+_EVEN = 0x5555555555555555
 _SLICE = 1 << 16
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     """Majority bits of the XXH64 of all word shingles, as a signed 64-bit integer; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
     if not words:
         return 0
     if len(words) < width:
@@ -67,47 +86,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(score, f"id {kept.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
-def _half(fp: Column, half: int) -> Column:
-    return F.shiftrightunsigned(fp, 32) if half else fp.bitwiseAND(0xFFFFFFFF)
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _counts(half: Column) -> Column:
-    """Bit counts of sixteen two-bit segments, packed at two bits each."""
-    return half.bitwiseAND(_EVEN) + F.shiftright(half, 1).bitwiseAND(_EVEN)
+def _counts(fp: Column) -> Column:
+    """Bit counts of the 32 two-bit segments, packed at two bits each."""
+    next_bit = F.shiftrightunsigned(fp, 1)
+    one, two = fp.bitwiseXOR(next_bit).bitwiseAND(_EVEN), fp.bitwiseAND(next_bit).bitwiseAND(_EVEN)
+    return one.bitwiseOR(F.shiftleft(two, 1))
 
 
 def manhattan(a: Column, b: Column) -> Column:
     """Manhattan distance of the 32-coordinate embeddings of two fingerprints."""
-    total = F.lit(0)
-    for half in (0, 1):
-        x = _counts(_half(a, half)).bitwiseXOR(_counts(_half(b, half)))
-        one, high = x.bitwiseAND(_EVEN), F.shiftright(x, 1).bitwiseAND(_EVEN)
-        total = total + F.bit_count(one) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(one)))
-    return total
+    x = _counts(a).bitwiseXOR(_counts(b))  # 3 where one count is 1 and the other 2, or 2 where they are 0 and 2
+    one, high = x.bitwiseAND(_EVEN), F.shiftrightunsigned(x, 1).bitwiseAND(_EVEN)
+    return (F.bit_count(one) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(one)))).cast("int")
 
 
-def grid_links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Pairs (src, dst) of distinct values of ``fp`` at ``max_distance`` bits or fewer.
+def grid_links(fps: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs (src, dst) of distinct values of ``fp`` at ``max_distance`` bits or fewer, each once.
 
-    The two half grids with a reach of one step prove completeness up to three bits.
+    Complete for every distance below ``blocks``; a divisor of 32. Cells are the more selective the smaller the distance.
     """
-    if not 0 <= max_distance <= 3:
-        raise ValueError("the half grids are complete for distances 0 to 3")
-    homes, probes = [], []
-    for half in (0, 1):
-        cell = _counts(_half(F.col("fp"), half)) + half * (1 << 33)
-        homes.append(F.struct(cell.alias("cell"), F.lit(True).alias("own")))
-        probes.append(homes[-1])
-        for s in range(16):
-            room = F.shiftright(cell, 2 * s).bitwiseAND(3) < 2
-            probes.append(F.when(room, F.struct((cell + (1 << 2 * s)).alias("cell"), F.lit(False).alias("own"))))
-    home = fps.select(F.col("fp").alias("dst"), F.inline(F.array(*homes))).select("cell", "dst")
-    probe = fps.select(F.col("fp").alias("src"), F.inline(F.array_compact(F.array(*probes))))
-    near = (manhattan(F.col("src"), F.col("dst")) <= max_distance) & (
-        F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_distance
-    )
-    met = probe.join(home, (probe["cell"] == home["cell"]) & (~F.col("own") | (F.col("src") < F.col("dst"))) & near)
-    return met.select("src", "dst")
+    if not 0 <= max_distance < blocks or 32 % blocks:
+        raise ValueError("the distance must be below the number of blocks, a divisor of 32")
+    size = 64 // blocks
+    chosen = list(combinations(range(blocks), blocks - max_distance))
+    masks = [_signed(sum(((1 << size) - 1) << size * b for b in c)) for c in chosen]
+    # the first choice that has none of the differing blocks, by the set of them
+    first = [next((k for k, c in enumerate(chosen) if not any(m >> b & 1 for b in c)), -1) for m in range(1 << blocks)]
+    counts = _counts(F.col("fp"))
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col("__c").bitwiseAND(m).alias("cell")) for k, m in enumerate(masks)])
+    home = fps.select("fp", counts.alias("__c")).select("fp", F.inline(cells))
+    a, b = home.withColumnRenamed("fp", "src"), home.withColumnRenamed("fp", "dst")
+    x = _counts(F.col("src")).bitwiseXOR(_counts(F.col("dst")))
+    differ = sum((F.when(x.bitwiseAND(_signed(((1 << size) - 1) << size * i)) != 0, 1 << i).otherwise(0) for i in range(blocks)), F.lit(0))
+    near = (manhattan(F.col("src"), F.col("dst")) <= max_distance) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_distance)
+    met = a.join(b, (a["k"] == b["k"]) & (a["cell"] == b["cell"]) & (F.col("src") < F.col("dst")) & near)
+    return met.where(F.get(F.array(*map(F.lit, first)), differ) == a["k"]).select("src", "dst")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,12 +149,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """Majority bits of the 128-bit XXH3 of distinct words, as two signed 64-bit integers; zero without words."""
+    some = list(set(words))
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(some), _SLICE):
+        raw = b"".join([xxhash.xxh3_128_digest(w, SEED) for w in some[at : at + _SLICE]])
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    bits = np.packbits(counts * 2 > len(some)).tobytes()
+    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
+
+
+def wide_links(nodes: DataFrame, max_distance: int = WIDE_DISTANCE, cells: int = CELLS, bits: int = CELL_BITS) -> DataFrame:
+    """Candidate pairs (src, dst) of ``nodes`` (fp, hi, lo) whose wide fingerprints share a cell and differ in few bits.
+
+    A cell is a seeded choice of ``bits`` of the 128 one-bit segments. Within a cell
+    every member meets the one of least ``fp``, so a cell gives fewer pairs than it has
+    members, however many near copies it holds.
+    """
+    rng = random.Random(SEED)
+    keys = []
+    for k in range(cells):
+        mask = sum(1 << i for i in rng.sample(range(128), bits))
+        keys.append(F.xxhash64(F.lit(k), F.col("hi").bitwiseAND(_signed(mask >> 64)), F.col("lo").bitwiseAND(_signed(mask & (1 << 64) - 1))))
+    dealt = nodes.select("fp", "hi", "lo", F.explode(F.array(*keys)).alias("cell")).repartition("cell")
+    least = dealt.groupBy("cell").agg(F.min(F.struct("fp", "hi", "lo")).alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = dealt.join(least, "cell").where(F.col("fp") != F.col("a.fp"))
+    off = F.bit_count(F.col("hi").bitwiseXOR(F.col("a.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("a.lo")))
+    return met.where(off <= max_distance).select(F.col("a.fp").alias("src"), F.col("fp").alias("dst")).distinct()
+
+
+def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, fp, hi, lo) of every row of ``docs``, which has a column __tessera_key."""
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[int]] = [[], [], []]
+            for t in b.column(1):
+                text = t.as_py()
+                values = fingerprint(text, NEAR_WORDS), *wide_fingerprint(_words(text))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in out)], ["key", "id", "fp", "hi", "lo"])
+        give_back()
+
+    kept = docs.select(F.col("__tessera_key").alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    return kept.mapInArrow(score, f"key long, id {kept.schema['id'].dataType.simpleString()}, fp long, hi long, lo long")
+
+
+def _shingles(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, s): the distinct hashes of a text's five-word shingles, for rows with a column __tessera_key."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashed = []
+            for t in b.column(1):
+                words = _words(t.as_py())
+                joined = map(b" ".join, zip(*(words[i:] for i in range(NEAR_WORDS)), strict=False)) if len(words) >= NEAR_WORDS else [b" ".join(words)]
+                hashed.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashed, pa.list_(pa.int64()))], ["key", "s"])
+        give_back()
+
+    return docs.select("__tessera_key", text_col).mapInArrow(cut, "key long, s array<long>")
+
+
+def alike_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
+    """Links (src, dst) of wide candidates whose five-word Jaccard similarity is ``ALIKE`` or more, counted over whole texts.
+
+    ``nodes`` is (fp, hi, lo, key), key naming the row of ``docs`` (by its column __tessera_key) that stands for the fingerprint.
+    """
+    pairs = written(wide_links(nodes), "wide-pairs")
+    ends = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
+    named = written(nodes.join(ends, "fp").select("fp", "key"), "wide-ends")
+    texts = docs.join(named.select(F.col("key").alias("__tessera_key")), "__tessera_key", "left_semi")
+    sets = written(_shingles(texts, text_col).dropDuplicates(["key"]).join(named, "key").select("fp", "s"), "shingles", BATCH_ROWS)
+    a, b = sets.select(F.col("fp").alias("src"), F.col("s").alias("x")), sets.select(F.col("fp").alias("dst"), F.col("s").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(a, "src").join(b, "dst").where(both >= ALIKE * (F.size("x") + F.size("y") - both)).select("src", "dst")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id.
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id, null ids last, then the smallest ``row_key``.
 
-    Of rows that repeat that id one stays; rows without an id cannot be named and stay.
+    Rows are told apart by all their columns, so ids may be null or repeat; of rows
+    equal in all columns one stays. Null and empty texts are copies of one another.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__tessera_stay")).distinct()
-    one = docs.join(stay, F.col(id_col) == F.col("__tessera_stay"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    keyed = docs.withColumn("__tessera_key", row_key(docs))
+    rows = written(_described(keyed, id_col, text_col), "described", BATCH_ROWS)
+    ranked = rows.withColumn("order", F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    nodes = written(ranked.groupBy("fp").agg(F.min(F.struct("order", "hi", "lo")).alias("m")).select("fp", "m.*"), "nodes")
+    wide = alike_links(keyed, nodes.select("fp", "hi", "lo", F.col("order.key").alias("key")), text_col)
+    member = connected_components(grid_links(nodes.select("fp")).unionAll(wide))
+    grouped = nodes.join(member, nodes["fp"] == member["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("order").alias("order"))
+    stay = written(grouped.select(F.col("order.key").alias("__tessera_stay")), "stay")
+    return keyed.join(stay, F.col("__tessera_key") == F.col("__tessera_stay"), "left_semi").dropDuplicates(["__tessera_key"]).select(*docs.columns)
