@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,9 @@ WINDOW_WORDS = 10
 GAP = 16
 #: A shard closes with the document that reaches this many words.
 SHARD_WORDS = 1 << 19
-#: Characters of test items taken at once.
+#: Characters of test items taken at once, and candidate starts that a task expands at once.
 BLOCK_CHARS = 4 << 20
+STARTS = 1 << 20
 
 _FOLD = bytes(
     32 if b < 0x30 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x80 else b + 32 if 0x41 <= b < 0x5B else b
@@ -147,6 +149,20 @@ def _find(block: Block, lists: dict[int, np.ndarray], slack: int) -> tuple[np.nd
     count = np.where(block.codes >= 0, freq[block.codes], np.iinfo(np.int64).max)
     rarest = np.argsort(count, axis=1, kind="stable")
     phrase = np.nonzero((block.lengths > 0) & (count.min(axis=1) > 0))[0]
+    ends = np.cumsum(freq[block.codes[phrase, rarest[phrase, 0]]])
+    found, at = [], 0
+    while at < len(phrase):  # so many phrases at once that their starts stay within STARTS, or one
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STARTS, "right")))
+        found.append(_matched(block, phrase[at:upto], rarest, freq, first, flat, slack))
+        at = upto
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(p for p, _ in found)]), np.concatenate([none, *(s for _, s in found)])
+
+
+def _matched(
+    block: Block, phrase: np.ndarray, rarest: np.ndarray, freq: np.ndarray, first: np.ndarray, flat: np.ndarray, slack: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, start) of the matches of some phrases: the list of the rarest term, intersected with the others in turn."""
     lead = block.codes[phrase, rarest[phrase, 0]]
     many = freq[lead]
     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -240,13 +256,16 @@ def decontaminate(
     ``near_items`` are items matched within ``slack`` only. Null and empty texts
     have no words; items without id or words match nothing; an empty test set
     leaves every document clean. Repeated rows are separate documents; repeated
-    items count once.
+    items count once. Ids of documents are integers.
     """
     index = written(build_index(docs, id_col, text_col), "phrase-index", BATCH_ROWS)
-    parts = [match_block(index, b, slack) for b in _blocks(items, item_col, item_text_col, width)]
-    if len(parts) == 1:
-        whole = parts[0]
-    else:
+    blocks = _blocks(items, item_col, item_text_col, width)
+    one, two = next(blocks), next(blocks, None)
+    if two is None:
+        whole = match_block(index, one, slack)
+    else:  # each block's matches are written before the next block is read, so the driver holds two at most
+        parts = [written(match_block(index, b, slack), "matches") for b in chain((one, two), blocks)]
+        del one, two
         stacked = parts[0]
         for p in parts[1:]:
             stacked = stacked.unionAll(p)

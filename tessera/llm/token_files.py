@@ -344,7 +344,7 @@ def write_files(
 ) -> DataFrame:
     """The written table of file images (part, file, n_ids, image), in ascending order of ids over (part, file).
 
-    Null ids come first; rows of equal ids follow in the order of their texts. Null
+    Ids are integers. Null ids come first; rows of equal ids follow in the order of their texts. Null
     texts are empty. ``tokenizer`` is a name that ``public_tokenizers`` knows or an absolute path.
     """
     spark = docs.sparkSession

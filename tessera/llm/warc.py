@@ -8,7 +8,9 @@ payload against their digests.
 
 An archive is one binary value of a Parquet table in the shared folder, so that
 Spark's committer writes it to any store; ``export`` writes plain ``.warc.gz``
-files and ``read_folder`` reads such files from any place that Spark can list.
+files. ``read_folder`` reads such files, anyone's: each is opened where it lies and
+fed to the reader in pieces, so an archive of any size takes the memory of its
+largest record. Digests are optional in the format and checked where they are given.
 """
 
 from __future__ import annotations
@@ -41,8 +43,11 @@ def digest(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+_OWN = "<urn:tessera:page:"
+
+
 def _record_id(page: int | None) -> str:
-    return "<urn:tessera:page:none>" if page is None else f"<urn:tessera:page:{page}>"
+    return f"{_OWN}{'none' if page is None else page}>"
 
 
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None = None, level: int = 6) -> bytes:
@@ -70,7 +75,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 
 @dataclass
 class Record:
-    """A record as read: its headers, its HTTP header fields and its payload."""
+    """A record as read: its headers, the header fields of its HTTP message if it holds one, and its payload."""
 
     headers: dict[str, str]
     http: dict[str, str]
@@ -78,10 +83,18 @@ class Record:
 
 
 def _fields(raw: bytes) -> dict[str, str]:
-    lines = raw.decode("utf-8", "surrogatepass").split("\r\n")[1:]
+    lines = raw.decode("utf-8", "surrogatepass" if _is_utf8(raw) else "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _members(feed: Iterable[bytes]) -> Iterator[bytes]:
     """The decompressed members of a gzip stream, however its bytes are cut."""
     unpack, parts = zlib.decompressobj(31), []
@@ -96,24 +109,47 @@ def _members(feed: Iterable[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends within a member")
 
 
+def _holds(stated: str | None, raw: bytes) -> bool:
+    """Whether ``raw`` has the stated digest: SHA-1 in base32 or hex; other algorithms are not checked."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() != "sha1":
+        return True
+    found = hashlib.sha1(raw).digest()
+    return value.upper() in (base64.b32encode(found).decode(), found.hex().upper())
+
+
 def read(feed: Iterable[bytes]) -> Iterator[Record]:
-    """Records of an archive in order; raises ValueError where framing or a digest does not hold."""
+    """Records of an archive in order; raises ValueError where framing or a stated digest does not hold.
+
+    A payload is what follows the header of an HTTP message, and the whole block of
+    any other record. A payload digest covers a response's payload; a revisit states
+    the digest of a payload that it does not carry.
+    """
     for member in _members(feed):
         head, mark, rest = member.partition(b"\r\n\r\n")
         if not mark or not head.startswith(b"WARC/"):
             raise ValueError("a member is not a WARC record")
         headers = _fields(head)
+        name = headers.get("warc-record-id")
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError(f"{name}: no length is stated")
         size = int(headers["content-length"])
         block, tail = rest[:size], rest[size:]
         if len(block) != size or tail != b"\r\n\r\n":
-            raise ValueError(f"{headers.get('warc-record-id')}: the block is not as long as stated")
-        if headers["warc-block-digest"] != "sha1:" + digest(block):
-            raise ValueError(f"{headers.get('warc-record-id')}: the block differs from its digest")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        found = Record(headers, _fields(http), payload)
-        if headers["warc-type"] == "response":
-            if headers["warc-payload-digest"] != "sha1:" + digest(payload) or len(payload) != int(found.http["content-length"]):
-                raise ValueError(f"{headers.get('warc-record-id')}: the payload differs from its digest or length")
+            raise ValueError(f"{name}: the block is not as long as stated")
+        if not _holds(headers.get("warc-block-digest"), block):
+            raise ValueError(f"{name}: the block differs from its digest")
+        kind = headers.get("warc-type", "")
+        if headers.get("content-type", "").lower().startswith("application/http"):
+            top, _, payload = block.partition(b"\r\n\r\n")
+            found = Record(headers, _fields(top), payload)
+        else:
+            found = Record(headers, {}, block)
+        stated = found.http.get("content-length", "")
+        encoded = "transfer-encoding" in found.http or "content-encoding" in found.http
+        whole = kind in ("response", "resource") and "warc-truncated" not in headers and "warc-segment-number" not in headers
+        if whole and not encoded and (not _holds(headers.get("warc-payload-digest"), found.payload) or (stated.isdigit() and len(found.payload) != int(stated))):
+            raise ValueError(f"{name}: the payload differs from its digest or length")
         yield found
 
 
@@ -126,7 +162,7 @@ def write_archives(
     the largest id is the response and the others revisit it; rows repeated with
     that id are responses too. Null payloads are empty; rows without an id are
     responses where no row of the payload has one. Only payloads that occur more
-    than once are joined; their rows are spread over ``SALTS`` parts.
+    than once are joined; their rows are spread over ``SALTS`` parts. Ids are integers.
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
@@ -160,40 +196,85 @@ def write_archives(
     return written(aimed.mapInArrow(archives, "part int, archive int, content binary"), "warc")
 
 
-_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string"
+#: Records handed on at once.
+READ_ROWS = 1024
 
 
 def _page(name: str | None) -> int | None:
-    tail = (name or "").strip("<>").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    """The page of a record id of our own; null for others."""
+    tail = (name or "").removeprefix(_OWN).removesuffix(">")
+    return int(tail) if (name or "").startswith(_OWN) and tail.lstrip("-").isdigit() else None
+
+
+def _rows(feed: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """The records of one archive as rows."""
+    out: list[list] = [[] for _ in range(7)]
+
+    def batch() -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in _READ.split(", ")])
+        for column in out:
+            column.clear()
+        return made
+
+    for r in read(feed):
+        h = r.headers
+        length = r.http.get("content-length", "")
+        given = h.get("warc-payload-digest", "").removeprefix("sha1:") or digest(r.payload)
+        values = (
+            _page(h.get("warc-record-id")), int(length) if length.isdigit() else len(r.payload), given, h.get("warc-type"),
+            _page(h.get("warc-refers-to")), h.get("warc-target-uri"), h.get("warc-record-id"),
+        )
+        for column, value in zip(out, values, strict=True):
+            column.append(value)
+        if len(out[0]) >= READ_ROWS:
+            yield batch()
+    if out[0]:
+        yield batch()
 
 
 def read_archives(archives: DataFrame, content_col: str = "content") -> DataFrame:
-    """One row a record of the archives in ``content_col``: page, full payload's length and digest, type, target."""
+    """One row a record of the archives in ``content_col``: page, full payload's length and digest, type, target, url, record id.
+
+    Page and target are null for records that ``write_archives`` did not write.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                raw = memoryview(content.as_buffer())
-                out: list[list] = [[] for _ in range(6)]
-                for r in read(raw[i : i + _FEED] for i in range(0, len(raw), _FEED)):
-                    h = r.headers
-                    values = (
-                        _page(h.get("warc-record-id")), int(r.http.get("content-length", len(r.payload))),
-                        h.get("warc-payload-digest", "").removeprefix("sha1:"), h["warc-type"], _page(h.get("warc-refers-to")), h.get("warc-target-uri"),
-                    )
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in _READ.split(", ")])
+                if content.is_valid:
+                    raw = memoryview(content.as_buffer())
+                    yield from _rows(raw[i : i + _FEED] for i in range(0, len(raw), _FEED))
 
     return archives.select(F.col(content_col).cast("binary")).mapInArrow(rows, _READ)
 
 
+def _opened(path: str) -> Iterator[bytes]:
+    """The bytes of a file in pieces, from any file system that Arrow can open."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path if ":" in path else "file://" + path)
+    with store.open_input_file(name) as f:
+        while piece := f.read(_FEED):
+            yield piece
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all ``*.warc.gz`` files below ``path``."""
+    """Records of all ``*.warc.gz`` files below ``path``, which Spark lists and the executors open one after another.
+
+    Each file is read as a stream. The store must be one that Arrow opens by URI (local, hdfs, s3, gs, abfs).
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path)
-    return read_archives(files, "content")
+    names = written(files.select("path"), "warc-names")  # the listing alone, without contents
+    tasks = max(1, min(names.count(), spark.sparkContext.defaultParallelism * 4))
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                yield from _rows(_opened(name))
+
+    return names.repartition(tasks).mapInArrow(rows, _READ)
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
