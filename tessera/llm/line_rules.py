@@ -8,6 +8,8 @@ symbols) guard the verdict. All work is row-local: no shuffle, no Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,19 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
-#: Phrases of page furniture, matched in either case.
+#: Phrases of page furniture in the corpus's languages, matched in either case.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service",
     "use of cookies", "uses cookies", "enable javascript", "click here", "sign up for", "subscribe to our",
     "lorem ipsum", "powered by", "skip to content",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "klicken sie hier",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "condiciones de uso", "haga clic aquí",
 )
+#: A line of a menu: up to three words, the last of which ends in a letter or digit; so many in a row make a menu.
+MENU_LINE = rf"^{SPACE}*(?:{WORD}+{SPACE}+){{0,2}}{WORD}*[\p{{L}}\p{{N}}]{SPACE}*\z"
+MENU_CHARS = 60
+MENU_LINES = 4
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Shares of a line's words, or of its letters, from which a line fails.
@@ -40,13 +49,34 @@ def _of(pattern: str, text: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def boilerplate_pattern() -> str:
+    """One pattern of all phrases, at the beginning of a word and by their first letter, so that few alternatives are tried."""
+    by: dict[str, list[str]] = {}
+    for phrase in BOILERPLATE:
+        plain = "".join(c if c.isascii() else f"[{c}{c.upper()}]" for c in phrase[1:])
+        by.setdefault(phrase[0], []).append(plain)
+    return "(?i)(?:^|[^a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
+def menu_lines(lines: str) -> Column:
+    """Whether each line of the array column ``lines`` has the shape of a menu's."""
+    return F.transform(lines, lambda x: ~x.endswith(".") & (F.length(x) <= MENU_CHARS) & x.rlike(MENU_LINE))  # cheapest first
+
+
+def _in_menu(shape: str, i: Column) -> Column:
+    """Whether line ``i`` lies in a run of ``MENU_LINES`` or more lines of that shape."""
+    at = lambda k: F.coalesce(F.get(shape, i + k), F.lit(False))
+    runs = [reduce(Column.__and__, [at(k) for k in range(low, low + MENU_LINES) if k]) for low in range(1 - MENU_LINES, 1)]
+    return at(0) & reduce(Column.__or__, runs)
+
+
 def line_fails(line: Column) -> Column:
     """Whether one line breaks a rule; lines without words pass.
 
     Punctuation: at least three runs of "!" or "?", or as many as half its words;
     letters mostly upper case in a line of three words or more. Navigation:
-    separators and symbols from a quarter of its words on, three or more. Boilerplate:
-    a listed phrase.
+    separators and symbols from a quarter of its words on. Boilerplate: a listed
+    phrase. Lines of menus are told by their neighbours, in ``assess``.
     """
     words = _of(WORD + "+", line)
     upper, lower = _of(r"\p{Lu}", line), _of(r"\p{Ll}", line)
@@ -55,7 +85,7 @@ def line_fails(line: Column) -> Column:
     signs = _of(r"[#*$%&|<>»›·•]+", line)
     punctuation = (marks >= 3) & (marks >= MAX_MARKS_PER_WORD * words)
     navigation = (signs >= 1) & (signs >= MAX_SYMBOLS_PER_WORD * words)
-    boilerplate = line.rlike("(?i)" + "|".join(BOILERPLATE))
+    boilerplate = line.rlike(boilerplate_pattern())
     return shouts | punctuation | navigation | boilerplate  # words are counted only where the cheaper test holds
 
 
@@ -68,12 +98,8 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
     column instead of inlining it into a lambda, where it would be made per element.
     """
     hashed = docs.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn(
-        "_g",
-        F.when(
-            F.size("_h") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("_h") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_h", i, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+        "_a", F.transform("_h", lambda h, i: F.xxhash64(h, *[F.get("_h", i + k) for k in range(1, WINDOW)]))
+    ).withColumn("_g", F.slice("_a", 1, F.greatest(F.size("_a") - (WINDOW - 1), F.lit(0))))  # the last ones are no whole windows
     flagged = hashed.withColumn(
         "_s",
         F.when(
@@ -113,7 +139,8 @@ def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
     row = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     split = row.withColumn("_w", _words(F.col("_t"))).withColumn("_l", F.split("_t", "\n"))
     lines = split.withColumn("_full", F.filter("_l", lambda x: x.rlike(WORD)))
-    judged = lines.withColumn("_ok", F.filter("_l", lambda x: ~line_fails(x)))
+    shaped = lines.withColumn("_m", menu_lines("_l"))
+    judged = shaped.withColumn("_ok", F.filter("_l", lambda x, i: ~line_fails(x) & ~_in_menu("_m", i)))
     counted = _repeat_words(judged).select(
         "_row",
         F.size("_w").cast("long").alias("n_words"),

@@ -6,7 +6,7 @@ from tessera.llm import license_digest, line_rules, phrase_index
 
 
 def _rules() -> str:
-    word, boiler = r"[^\x20\x09-\x0D]+", "(?i)" + "|".join(line_rules.BOILERPLATE)
+    word, boiler = r"[^\x20\x09-\x0D]+", line_rules.boilerplate_pattern().replace("'", "''")
     n = lambda pattern, text: f"len(regexp_extract_all({text}, '{pattern}'))"
     words, upper, lower = n(word, "x"), n(r"\p{Lu}", "x"), n(r"\p{Ll}", "x")
     marks, signs = n("[!?]{2,}", "x"), n("[#*$%&|<>»›·•]+", "x")
@@ -14,13 +14,16 @@ def _rules() -> str:
         f"(({upper} > {line_rules.MAX_UPPER_SHARE}::DOUBLE * ({upper} + {lower}) AND {words} >= 3) OR ({marks} >= 3 AND {marks} >= {line_rules.MAX_MARKS_PER_WORD}::DOUBLE * {words})"
         f" OR ({signs} >= 1 AND {signs} >= {line_rules.MAX_SYMBOLS_PER_WORD}::DOUBLE * {words}) OR regexp_matches(x, '{boiler}'))"
     )
-    k = line_rules.WINDOW
+    k, m = line_rules.WINDOW, line_rules.MENU_LINES
+    # run[j] of the lines around line i, from m - 1 before it on; a menu line stands in m of them in a row
+    runs = " OR ".join(" AND ".join(f"coalesce(m[i + {j}], false)" for j in range(low, low + m)) for low in range(1 - m, 1))
+    menu = f"list_transform(ls, lambda x: length(x) <= {line_rules.MENU_CHARS} AND regexp_matches(x, '{line_rules.MENU_LINE}'))"
     return f"""
     WITH d AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w, string_split(t, chr(10)) AS ls FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
     g AS (SELECT doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k})),
     r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {k})) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, p) AS c FROM g) WHERE c > 1) GROUP BY 1),
     e AS (SELECT doc_id, w, ls, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {n("[#*$%&|<>]", "t")} AS n_symbols,
-      list_filter(ls, lambda x: regexp_matches(x, '{word}')) AS f, list_filter(ls, lambda x: NOT {fails}) AS ok, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+      list_filter(ls, lambda x: regexp_matches(x, '{word}')) AS f, list_filter(ls, lambda x, i: NOT {fails} AND NOT ({runs})) AS ok, coalesce(n, 0) AS n_repeat_words FROM (SELECT *, {menu} AS m FROM d) LEFT JOIN r USING (doc_id)),
     z AS (SELECT *, len(ls) - len(ok) AS n_bad_lines, CASE WHEN len(ls) = len(ok) THEN 0 ELSE n_words - {n(word, "array_to_string(ok, chr(10))")} END AS n_lost_words,
       n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM e)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(f) - len(list_distinct(f)) AS BIGINT) AS n_dup_lines,
