@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +73,12 @@ def pagerank(edges: DataFrame, reset: float = 0.15, rounds: int = 10, every: int
     return ranks
 
 
-def shortest_paths(edges: DataFrame, landmark: int, max_rounds: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, landmark: int) -> DataFrame:
     """(id, hops) of every node that reaches ``landmark`` along edges (src, dst), by breadth-first rounds until nothing is new."""
     links = written(edges.select("src", "dst").distinct(), "links")
     found = written(links.sparkSession.range(1).select(F.lit(landmark).cast("long").alias("id"), F.lit(0).alias("hops")), "found")
     edge = found
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         near = links.join(edge, links["dst"] == edge["id"], "left_semi").select(F.col("src").alias("id")).distinct()
         new = written(near.join(found, "id", "left_anti").withColumn("hops", F.lit(k)), "frontier")
         if new.isEmpty():

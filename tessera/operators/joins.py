@@ -25,14 +25,27 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join in which every key of ``right`` is listed under each salt and rows of ``left`` are spread over them."""
+    """Equi-join in which every key of ``right`` is listed under each salt and rows of ``left`` are spread over them.
+
+    Rows of ``right`` are listed several times, so joins that keep its unmatched rows are made in two
+    parts: the salted one for rows that match, and an anti join for those that do not.
+    """
+    if how in ("right", "rightouter", "right_outer", "full", "outer", "fullouter", "full_outer"):
+        met = salted_join(left, right, key, salts, "inner" if how.startswith("right") else "left")
+        lone = right.join(left.select(key).distinct(), key, "left_anti")
+        return met.unionByName(lone, allowMissingColumns=True).select(*met.columns)
     spread = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     listed = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(listed, [key, "__salt"], how).drop("__salt")
 
 
 def as_of(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """For each row of ``left`` the ``values`` of the latest row of ``right`` at or before it, by union and one window."""
+    """For each row of ``left`` the ``values`` of the latest row of ``right`` at or before it, by union and one window.
+
+    Null keys match nothing, as in an equi-join; rows of ``right`` with one are left out.
+    """
+    for k in by:
+        right = right.where(F.col(k).isNotNull())
     a = left.withColumns({"__side": F.lit(1), **{v: F.lit(None).cast(right.schema[v].dataType) for v in values}})
     b = right.select(*by, on, *values).withColumn("__side", F.lit(0))
     both = a.unionByName(b, allowMissingColumns=True)

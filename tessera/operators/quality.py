@@ -93,39 +93,93 @@ def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"\s+", " "))
 
 
-def outliers(df: DataFrame, column: str, method: str = "iqr", factor: float | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with outlier (boolean) by z-score (3), IQR (1.5) or MAD (3.5), over all rows or within groups.
-
-    Bounds are one aggregate row a group, joined back; a null value is no outlier.
-    """
+def _bounds(df: DataFrame, column: str, method: str, factor: float | None, by: Sequence[str], ends: tuple[float, float]) -> DataFrame:
+    """(by, __low, __high): values outside are outliers; one row a group, nulls a group of their own."""
     c = F.col(column)
-    keys = list(by) or [F.lit(1).alias("__all")]
-    names = list(by) or ["__all"]
-    keyed = df if by else df.withColumn("__all", F.lit(1))
     if method == "zscore":
-        stats = df.groupBy(*keys).agg(F.avg(c).alias("__m"), F.stddev(c).alias("__s"))
-        test = F.abs(c - F.col("__m")) > (factor or 3.0) * F.col("__s")
-    elif method == "iqr":
-        q = df.groupBy(*keys).agg(F.percentile(c, [0.25, 0.75]).alias("q"))
+        reach = (factor or 3.0) * F.stddev(c)
+        return df.groupBy(*by).agg((F.avg(c) - reach).alias("__low"), (F.avg(c) + reach).alias("__high"))
+    if method == "iqr":
+        q = df.groupBy(*by).agg(F.percentile(c, [0.25, 0.75]).alias("q"))
         reach = (factor or 1.5) * (F.col("q")[1] - F.col("q")[0])
-        stats = q.select(*names, (F.col("q")[0] - reach).alias("__m"), (F.col("q")[1] + reach).alias("__s"))
-        test = (c < F.col("__m")) | (c > F.col("__s"))
-    elif method == "mad":
-        medians = keyed.groupBy(*names).agg(F.median(c).alias("__m"))
-        off = keyed.join(medians, names).withColumn("__d", F.abs(c - F.col("__m")))
-        stats = off.groupBy(*names).agg(F.first("__m").alias("__m"), F.median("__d").alias("__s"))
-        test = (F.col("__s") > 0) & (0.6745 * F.abs(c - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")) > (factor or 3.5))
+        return q.select(*by, (F.col("q")[0] - reach).alias("__low"), (F.col("q")[1] + reach).alias("__high"))
+    if method == "percentile":
+        q = df.groupBy(*by).agg(F.percentile(c, list(ends)).alias("q"))
+        return q.select(*by, F.col("q")[0].alias("__low"), F.col("q")[1].alias("__high"))
+    if method == "mad":
+        medians = df.groupBy(*by).agg(F.median(c).alias("__m"))
+        off = joined_back(df, medians, by).withColumn("__d", F.abs(c - F.col("__m")))
+        stats = off.groupBy(*by).agg(F.first("__m", True).alias("__m"), F.median("__d").alias("__s"))
+        reach = F.when(F.col("__s") > 0, (factor or 3.5) / 0.6745 * F.col("__s"))  # without spread nothing stands out
+        return stats.select(*by, (F.col("__m") - reach).alias("__low"), (F.col("__m") + reach).alias("__high"))
+    raise ValueError(f"unknown method {method}")
+
+
+def joined_back(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``stats``, one row a group; a null key is a group like others."""
+    if not by:
+        return df.crossJoin(F.broadcast(stats))  # one row
+    renamed = stats.select(*[F.col(k).alias(f"__by_{k}") for k in by], *[c for c in stats.columns if c not in by])
+    same = [F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in by]
+    return df.join(renamed, same, "left").drop(*[f"__by_{k}" for k in by])
+
+
+def outliers(
+    df: DataFrame, column: str, method: str = "iqr", factor: float | None = None, by: Sequence[str] = (), ends: tuple[float, float] = (0.01, 0.99),
+    domain: tuple[float | None, float | None] | None = None,
+) -> DataFrame:
+    """``df`` with outlier (boolean) by z-score (3), IQR (1.5), MAD (3.5) or percentiles (``ends``), over all rows or within groups.
+
+    ``domain`` is a range that holds whatever the spread is. Bounds are one aggregate
+    row a group, joined back; a null value is no outlier, a null group is a group.
+    """
+    c = F.col(column)
+    met = joined_back(df, _bounds(df, column, method, factor, by, ends), by)
+    test = F.coalesce((c < F.col("__low")) | (c > F.col("__high")), F.lit(False))
+    if domain:
+        low, high = domain
+        test = test | (F.lit(False) if low is None else F.coalesce(c < low, F.lit(False))) | (F.lit(False) if high is None else F.coalesce(c > high, F.lit(False)))
+    return met.withColumn("outlier", test).drop("__low", "__high")
+
+
+def treat_outliers(df: DataFrame, column: str, treatment: str, method: str = "iqr", factor: float | None = None, by: Sequence[str] = (), ends: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
+    """``df`` with the outliers of ``column`` removed, capped at the bounds, made null, or put at the group's median; nulls stay."""
+    c = F.col(column)
+    met = joined_back(df, _bounds(df, column, method, factor, by, ends), by)
+    out = F.coalesce((c < F.col("__low")) | (c > F.col("__high")), F.lit(False))
+    if treatment == "remove":
+        done = met.where(~out)
+    elif treatment == "cap":
+        done = met.withColumn(column, F.when(out, F.when(c < F.col("__low"), F.col("__low")).otherwise(F.col("__high"))).otherwise(c))
+    elif treatment == "null":
+        done = met.withColumn(column, F.when(~out, c))
+    elif treatment == "median":
+        middle = joined_back(met, df.groupBy(*by).agg(F.median(c).alias("__mid")), by)
+        done = middle.withColumn(column, F.when(out, F.col("__mid")).otherwise(c)).drop("__mid")
     else:
-        raise ValueError(f"unknown method {method}")
-    met = keyed.join(stats, names, "left")
-    return met.withColumn("outlier", F.coalesce(test, F.lit(False))).drop("__m", "__s", "__all")
+        raise ValueError(f"unknown treatment {treatment}")
+    return done.drop("__low", "__high")
 
 
 def winsorize(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``column`` capped at its exact percentiles."""
+    """``column`` capped at its exact percentiles; nulls stay null."""
     ends = df.agg(F.percentile(column, [low, high]).alias("__q"))
-    met = df.crossJoin(ends)  # one row of percentiles
-    return met.withColumn(column, F.greatest(F.least(F.col(column), F.col("__q")[1]), F.col("__q")[0])).drop("__q")
+    met = df.crossJoin(F.broadcast(ends))  # one row of percentiles
+    capped = F.greatest(F.least(F.col(column), F.col("__q")[1]), F.col("__q")[0])  # these pass over nulls
+    return met.withColumn(column, F.when(F.col(column).isNotNull(), capped)).drop("__q")
+
+
+def impute(df: DataFrame, column: str, strategy: str = "mean", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the nulls of ``column`` filled by the mean, median or mode of all rows or of their group; ties of the mode go to the least value."""
+    c = F.col(column)
+    if strategy == "mode":
+        counted = df.where(c.isNotNull()).groupBy(*by, c.alias("__v")).agg(F.count("*").alias("__n"))
+        stats = counted.groupBy(*by).agg(F.min_by("__v", F.struct(-F.col("__n"), F.col("__v"))).alias("__fill"))
+    elif strategy in ("mean", "median"):
+        stats = df.groupBy(*by).agg((F.avg(c) if strategy == "mean" else F.median(c)).alias("__fill"))
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    return joined_back(df, stats, by).withColumn(column, F.coalesce(c, "__fill")).drop("__fill")
 
 
 _QL = "(SELECT doc_id, lang, quality, toxic, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE n_chars END AS n FROM documents LEFT JOIN labels USING (doc_id))"
@@ -154,10 +208,34 @@ def null_funcs(t: Tables) -> DataFrame:
     )
 
 
-@query(f"SELECT doc_id, round(coalesce(n, avg(n) OVER (PARTITION BY lang)), 4) AS n FROM {_QL}")
+_GAPS = f"(SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang, n, CAST(quality AS DOUBLE) AS quality FROM {_QL})"
+
+
+def _gaps(t: Tables) -> DataFrame:
+    """Rows whose group is null in part."""
+    return _labelled(t).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"), F.col("n").cast("double").alias("n"), F.col("quality").cast("double").alias("quality"))
+
+
+@query(f"SELECT doc_id, round(coalesce(n, avg(n) OVER (PARTITION BY lang)), 4) AS n FROM {_GAPS}")
 def impute_mean(t: Tables) -> DataFrame:
-    means = _labelled(t).groupBy("lang").agg(F.avg("n").alias("m"))
-    return _labelled(t).join(means, "lang").select("doc_id", F.round(F.coalesce(F.col("n").cast("double"), "m"), 4).alias("n"))
+    return impute(_gaps(t), "n", "mean", ["lang"]).select("doc_id", F.round("n", 4).alias("n"))
+
+
+@query(f"SELECT doc_id, coalesce(n, median(n) OVER (PARTITION BY lang)) AS n FROM {_GAPS}")
+def impute_median(t: Tables) -> DataFrame:
+    return impute(_gaps(t), "n", "median", ["lang"]).select("doc_id", "n")
+
+
+@query(f"""SELECT g.doc_id, coalesce(g.quality, m.quality) AS quality FROM {_GAPS} g LEFT JOIN (SELECT lang, arg_min(quality, (-c, quality)) AS quality FROM
+(SELECT lang, quality, count(*) AS c FROM {_GAPS} WHERE quality IS NOT NULL GROUP BY 1, 2) GROUP BY 1) m ON m.lang IS NOT DISTINCT FROM g.lang""")
+def impute_mode(t: Tables) -> DataFrame:
+    return impute(_gaps(t), "quality", "mode", ["lang"]).select("doc_id", "quality")
+
+
+@query(f"SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE lang END AS lang, CASE WHEN quality = 0 THEN -1 ELSE quality END AS quality, coalesce(quality, 5) AS filled FROM {_QL}")
+def null_replace(t: Tables) -> DataFrame:
+    named = _labelled(t).select("doc_id", "lang", "quality", F.nvl("quality", F.lit(5)).alias("filled"))
+    return named.na.replace({"en": "english", "de": "german"}, subset=["lang"]).na.replace(0, -1, subset=["quality"])
 
 
 @query(f"SELECT round(count(quality) / count(*), 6) AS quality, round(count(toxic) / count(*), 6) AS toxic, round(count(n) / count(*), 6) AS n, round(avg(((quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT + (n IS NOT NULL)::INT) / 3), 6) AS by_row FROM {_QL}")
@@ -218,12 +296,35 @@ def outlier_mad(t: Tables) -> DataFrame:
     return outliers(t.events, "value", "mad", 2.5).where("outlier").select("event_id")
 
 
-@query("SELECT event_id, round(greatest(least(value, b), a), 8) AS value, round(ln(1 + abs(value)), 8) AS logged FROM events, (SELECT quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM events)")
+_SOME = "(SELECT event_id, event_type, CASE WHEN event_id % 7 > 0 THEN value END AS value FROM events)"
+
+
+def _some(t: Tables) -> DataFrame:
+    """Events, some without a value."""
+    return t.events.select("event_id", "event_type", F.when(F.col("event_id") % 7 > 0, F.col("value")).alias("value"))
+
+
+@query(f"""SELECT event_id, round(CASE WHEN value IS NOT NULL THEN greatest(least(value, b), a) END, 8) AS value, round(ln(1 + abs(value)), 8) AS logged
+FROM {_SOME}, (SELECT quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM {_SOME})""")
 def outlier_winsor(t: Tables) -> DataFrame:
-    logged = t.events.withColumn("logged", F.round(F.log1p(F.abs("value")), 8))
+    logged = _some(t).withColumn("logged", F.round(F.log1p(F.abs("value")), 8))
     return winsorize(logged, "value").select("event_id", F.round("value", 8).alias("value"), "logged")
 
 
+@query(f"""SELECT e.event_id, round(CASE WHEN value < a THEN a WHEN value > b THEN b ELSE value END, 8) AS capped, CASE WHEN NOT (value < a OR value > b) THEN value END AS nulled
+FROM {_SOME} e JOIN (SELECT event_type, quantile_cont(value, 0.05) AS a, quantile_cont(value, 0.95) AS b FROM {_SOME} GROUP BY 1) USING (event_type)""")
+def outlier_treat(t: Tables) -> DataFrame:
+    both = _some(t).withColumn("raw", F.col("value"))
+    capped = treat_outliers(both, "value", "cap", "percentile", by=["event_type"], ends=(0.05, 0.95)).withColumnRenamed("value", "capped")
+    nulled = treat_outliers(capped, "raw", "null", "percentile", by=["event_type"], ends=(0.05, 0.95))
+    return nulled.select("event_id", F.round("capped", 8).alias("capped"), F.col("raw").alias("nulled"))
+
+
+@query("SELECT event_id FROM events, (SELECT quantile_cont(value, 0.02) AS a, quantile_cont(value, 0.98) AS b FROM events) WHERE value < a OR value > b OR value > 40")
+def outlier_domain(t: Tables) -> DataFrame:
+    return outliers(t.events, "value", "percentile", ends=(0.02, 0.98), domain=(None, 40.0)).where("outlier").select("event_id")
+
+
 @query("SELECT c_custkey, sha256(c_name) AS who, '***' || right(c_name, 3) AS name, CASE WHEN c_nationkey < 10 THEN c_acctbal END AS balance FROM customer WHERE c_mktsegment <> 'MACHINERY'")
 def gov_mask(t: Tables) -> DataFrame:
     seen = t.customer.where("c_mktsegment <> 'MACHINERY'")
@@ -278,14 +379,59 @@ def fuzzy_levenshtein(t: Tables) -> DataFrame:
     return fuzzy_pairs(t.part, "p_partkey", "p_name", F.col("p_brand")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH w AS (SELECT conv_id AS k, list_distinct(string_split(lower(text), ' ')) AS s FROM conversations WHERE turn = 0 AND conv_id < 400),
+def set_join(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
+    """(a, b, similarity) of pairs of distinct token sets with Jaccard similarity of ``least`` or more, by prefix filtering.
+
+    Equal sets are merged first under their least key. Tokens are ordered from the
+    rarest; two sets so alike share a token among the first ``n - ceil(least * n) + 1``
+    of each, so only those are joined, and only sets of near sizes; frequent tokens
+    come last and seldom meet. Candidates are verified over whole sets.
+    """
+    one = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s")).where(F.size("s") > 0).groupBy("s").agg(F.min("k").alias("k"))
+    token = one.select("k", F.explode("s").alias("w"))
+    frequency = token.groupBy("w").agg(F.count("*").alias("f"))
+    ranked = token.join(frequency, "w").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("s"))
+    sized = ranked.withColumn("n", F.size("s"))
+    prefix = sized.select("k", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(least * F.col("n")).cast("int") + 1)).alias("w"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    near = (F.col("a.k") < F.col("b.k")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & near).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+    x, y = sized.select(F.col("k").alias("a"), F.col("s").alias("x")), sized.select(F.col("k").alias("b"), F.col("s").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    similarity = shared / (F.size("x") + F.size("y") - shared)
+    return pairs.join(x, "a").join(y, "b").select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+
+
+@query("""WITH w AS (SELECT s, min(k) AS k FROM (SELECT conv_id * 10000 + turn AS k, list_sort(list_distinct(string_split(lower(text), ' '))) AS s FROM conversations) GROUP BY 1),
 p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM w a JOIN w b ON a.k < b.k)
-SELECT a, b, round(i / u, 6) AS similarity FROM p WHERE i / u >= 0.2""")
+SELECT a, b, round(i / u, 6) AS similarity FROM p WHERE i / u >= 0.3""")
 def fuzzy_jaccard(t: Tables) -> DataFrame:
-    sets = t.conversations.where("turn = 0 AND conv_id < 400").select(F.col("conv_id").alias("k"), F.array_distinct(F.split(F.lower("text"), " ")).alias("s"))
-    word = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("w"))
-    a, b = word.alias("a"), word.alias("b")
-    both = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k")))
-    counts = both.groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("i"))
-    ratio = F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
-    return counts.where(ratio >= 0.2).select("a", "b", F.round(ratio, 6).alias("similarity"))
+    sets = t.conversations.select((F.col("conv_id") * 10000 + F.col("turn")).alias("k"), F.split(F.lower("text"), " ").alias("s"))
+    return set_join(sets, "k", "s", 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+def bands(score: Column, match: float = 0.85, review: float = 0.7) -> Column:
+    """MATCH, REVIEW or NO_MATCH by a score."""
+    return F.when(score >= match, "MATCH").when(score >= review, "REVIEW").otherwise("NO_MATCH")
+
+
+@query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS name,
+len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / least(len(list_distinct(string_split(a.p_name, ' '))), len(list_distinct(string_split(b.p_name, ' ')))) AS words,
+CASE WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END AS type FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
+SELECT a, b, round(score, 6) AS score, CASE WHEN score >= 0.85 THEN 'MATCH' ELSE 'REVIEW' END AS verdict FROM (SELECT a, b, 0.5 * name + 0.3 * words + 0.2 * type AS score FROM p) WHERE score >= 0.7""")
+def fuzzy_composite(t: Tables) -> DataFrame:
+    """Weighted composite of name distance, word overlap and type, blocked by brand and size; in bands."""
+    some = t.part.select("p_partkey", "p_name", "p_type", "p_brand", "p_size", F.split("p_name", " ").alias("w"))
+    a, b = some.alias("a"), some.alias("b")
+    met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    name = 1 - F.levenshtein("a.p_name", "b.p_name") / F.greatest(F.length("a.p_name"), F.length("b.p_name"))
+    words = F.size(F.array_intersect("a.w", "b.w")) / F.least(F.size(F.array_distinct("a.w")), F.size(F.array_distinct("b.w")))
+    score = 0.5 * name + 0.3 * words + 0.2 * F.when(F.col("a.p_type") == F.col("b.p_type"), 1.0).otherwise(0.0)
+    scored = met.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), score.alias("score")).where("score >= 0.7")
+    return scored.select("a", "b", F.round("score", 6).alias("score"), bands(F.col("score")).alias("verdict"))
+
+
+@query()
+def fuzzy_soundex(t: Tables) -> DataFrame:
+    """Names that sound alike, with their number: blocks for a finer comparison."""
+    return t.part.groupBy(F.soundex("p_name").alias("sound")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p_name")).alias("names"))

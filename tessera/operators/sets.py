@@ -13,13 +13,13 @@ from tessera.operators.catalog import Tables, query
 
 
 def safe_union(parts: dict[str, DataFrame], key: Sequence[str] = ()) -> DataFrame:
-    """Union by name with a ``_source`` column; with a key, one row of each key stays, that of the first source by name."""
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("_source", F.lit(k)) for k, df in parts.items()))
+    """Union by name with ``_source`` and ``_loaded_at`` columns; with a key, one row of each key stays, that of the first source by name."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("_source", F.lit(k)) for k, df in parts.items())).withColumn("_loaded_at", F.current_timestamp())
     if not key:
         return stacked
-    rest = [c for c in stacked.columns if c not in (*key, "_source")]
+    rest = [c for c in stacked.columns if c not in (*key, "_source", "_loaded_at")]
     first = stacked.groupBy(*key).agg(F.min(F.struct("_source", *rest)).alias("s"))
-    return first.select(*key, *[F.col("s")[c].alias(c) for c in rest], F.col("s")["_source"].alias("_source"))
+    return first.select(*key, *[F.col("s")[c].alias(c) for c in rest], F.col("s")["_source"].alias("_source"), F.current_timestamp().alias("_loaded_at"))
 
 
 def flatten(df: DataFrame, depth: int = 5, explode_arrays: bool = False) -> DataFrame:
@@ -61,6 +61,15 @@ def dynamic_pivot(df: DataFrame, by: str, column: str, value: Column, limit: int
     return df.groupBy(by).pivot(column, sorted(values)).agg(value)
 
 
+def snapshot_states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Distinct rows of two snapshots with their state, new, gone or same, by one grouping over both."""
+    columns = old.columns
+    sided = old.select(*columns, F.lit(1).alias("__side")).unionAll(new.select(*columns, F.lit(2).alias("__side")))
+    sides = sided.groupBy(*columns).agg(F.bit_or("__side").alias("__sides"))
+    state = F.when(F.col("__sides") == 1, "gone").when(F.col("__sides") == 2, "new").otherwise("same")
+    return sides.select(state.alias("state"), *columns)
+
+
 _A = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000"
 _B = "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000"
 
@@ -121,15 +130,14 @@ def set_snapshot_diff(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_name")
     old = c.where("c_custkey % 7 <> 0")
     new = c.where("c_custkey % 5 <> 0").withColumn("c_name", F.when(F.col("c_custkey") % 11 == 0, F.upper("c_name")).otherwise(F.col("c_name")))
-    parts = {"new": new.subtract(old), "gone": old.subtract(new), "same": old.intersect(new)}
-    return reduce(DataFrame.unionAll, (d.select(F.lit(k).alias("state"), "*") for k, d in parts.items()))
+    return snapshot_states(old, new)
 
 
 @query("""SELECT id, name, src AS _source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, name) AS n FROM (SELECT c_custkey AS id, c_name AS name, 'a' AS src FROM customer
 UNION ALL SELECT s_suppkey, s_name, 'b' FROM supplier)) WHERE n = 1""")
 def set_safe_union(t: Tables) -> DataFrame:
     a = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return safe_union({"a": a, "b": t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))}, ["id"])
+    return safe_union({"a": a, "b": t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))}, ["id"]).drop("_loaded_at")
 
 
 @query("""SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN string_split(p_type, ' ') END AS w FROM part) LEFT JOIN LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) x ON true""")
@@ -184,10 +192,10 @@ def reshape_map(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.explode(F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type")))
 
 
-@query("SELECT l_orderkey, list({'line': l_linenumber, 'qty': l_quantity} ORDER BY l_linenumber, l_quantity) AS items FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@query("SELECT l_orderkey, list({'line': l_linenumber, 'qty': l_quantity} ORDER BY l_linenumber, l_quantity) AS items FROM lineitem GROUP BY 1")
 def reshape_renest(t: Tables) -> DataFrame:
     item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
-    return t.lineitem.where("l_orderkey < 500").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
 @query("SELECT c_nationkey, m['BUILDING'] AS building, len(map_keys(m)) AS segments FROM (SELECT c_nationkey, map(list(c_mktsegment), list(n)) AS m FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1)")
