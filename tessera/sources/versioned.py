@@ -1,9 +1,11 @@
 """Versioned tables: Parquet snapshots below a commit log, with DML, time travel, change feed and upkeep.
 
 A table is a folder with one data folder a write and ``_log/<version>.json``, each
-of which lists the data folders of its version. A commit creates its log file and
-fails where another writer has made it (optimistic concurrency). Every access goes
-through Spark or the Hadoop file system, so any store serves.
+of which lists the data files of its version. A commit's log file is written under
+another name and then renamed without overwriting, so that a reader never meets
+half of it and a second writer of the version fails (optimistic concurrency).
+Updates, deletes and merges rewrite the files with rows that they touch; the others
+stay. Every access goes through Spark or the Hadoop file system, so any store serves.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tessera.operators.catalog import Tables, query
 from tessera.plans.storage import new_path
@@ -92,43 +94,79 @@ class VersionedTable:
     @classmethod
     def create(cls, df: DataFrame, path: str, properties: dict[str, str] | None = None) -> VersionedTable:
         table = cls(df.sparkSession, path)
-        table._commit(0, "CREATE", [table._write(df)], df.schema, properties or {})
+        table._commit(0, "CREATE", table._write(df), df.schema, properties or {})
         return table
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame) -> list[str]:
+        """The files that ``df`` was written to, below the table's folder."""
         name = f"data-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        return name
+        return sorted(f"{name}/{s.getPath().getName()}" for s in self._fs.listStatus(self._hadoop(f"{self.path}/{name}")) if s.getPath().getName().startswith("part-"))
 
     def _commit(self, version: int, operation: str, data: list[str], schema: StructType, properties: dict[str, str], **more: Any) -> None:
         entry = {"version": version, "timestamp": time.time(), "operation": operation, "data": data, "schema": schema.json(), "properties": properties, **more}
-        out = self._fs.create(self._hadoop(f"{self.path}/_log/{version:012d}.json"), False)  # not over another's commit
+        made = self._hadoop(f"{self.path}/_log/.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(made, False)
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(made, self._hadoop(f"{self.path}/_log/{version:012d}.json"), options)
+        except Exception:
+            self._fs.delete(made, False)
+            raise
+
+    def _versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(f"{self.path}/_log"))]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _entry(self, version: int) -> dict:
+        stream = self._fs.open(self._hadoop(f"{self.path}/_log/{version:012d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _entries(self) -> list[dict]:
-        rows = self.spark.read.text(f"{self.path}/_log", wholetext=True).collect()  # one short line a version
-        return sorted((json.loads(r[0]) for r in rows), key=lambda e: e["version"])
+        return [self._entry(v) for v in self._versions()]
 
     def _at(self, version: int | None = None, timestamp: float | None = None) -> dict:
-        entries = [e for e in self._entries() if (version is None or e["version"] == version) and (timestamp is None or e["timestamp"] <= timestamp)]
-        if not entries:
-            raise ValueError("no such version")
-        return entries[-1]
+        """One entry of the log; only those looked at are read."""
+        for v in reversed(self._versions()):
+            if version is None or v == version:
+                entry = self._entry(v)
+                if timestamp is None or entry["timestamp"] <= timestamp:
+                    return entry
+        raise ValueError("no such version")
+
+    def _place(self, name: str) -> str:
+        return name if ":" in name or name.startswith("/") else f"{self.path}/{name}"  # a clone's files lie elsewhere
 
     def read(self, version: int | None = None, timestamp: float | None = None) -> DataFrame:
         """The table now, at a version, or as of a time in seconds."""
         return self._read(self._at(version, timestamp))
 
-    def _read(self, entry: dict) -> DataFrame:
+    def _read(self, entry: dict, files: Sequence[str] | None = None) -> DataFrame:
         schema = StructType.fromJson(json.loads(entry["schema"]))
-        if not entry["data"]:
+        some = entry["data"] if files is None else files
+        if not some:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{d}" for d in entry["data"]])
+        return self.spark.read.schema(schema).parquet(*map(self._place, some))
 
     def _change(self, operation: str, df: DataFrame, keep: Sequence[str] = (), schema: StructType | None = None, **more: Any) -> None:
         last = self._at()
-        self._commit(last["version"] + 1, operation, [*keep, self._write(df)], schema or df.schema, last["properties"], **more)
+        properties = {**last["properties"], **more.pop("set_properties", {})}
+        self._commit(last["version"] + 1, operation, [*keep, *self._write(df)], schema or df.schema, properties, **more)
+
+    def _touched(self, last: dict, rows: DataFrame) -> tuple[list[str], list[str]]:
+        """(files of ``last`` with a row of ``rows``, which has _file; the other files): names alone reach the driver."""
+        found = {r[0].rsplit("/", 2)[-2] + "/" + r[0].rsplit("/", 1)[-1] for r in rows.select("_file").distinct().collect()}
+        hit = [f for f in last["data"] if "/".join(f.rsplit("/", 2)[-2:]) in found]
+        return hit, [f for f in last["data"] if f not in set(hit)]
+
+    def _with_file(self, last: dict) -> DataFrame:
+        return self._read(last).withColumn("_file", F.col("_metadata.file_path")) if last["data"] else self._read(last).withColumn("_file", F.lit(""))
 
     def append(self, df: DataFrame, merge_schema: bool = False) -> None:
         """Add rows; other columns or types are refused unless ``merge_schema`` adds them to the table."""
@@ -147,16 +185,39 @@ class VersionedTable:
         self._change("OVERWRITE", df)
 
     def update(self, values: dict[str, Column], condition: Column | None = None) -> None:
+        """Set ``values`` where ``condition`` is true, in the files that hold such rows."""
         holds = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
-        now = self.read()
-        self._change("UPDATE", now.select(*[F.when(holds, values[c]).otherwise(F.col(c)).cast(now.schema[c].dataType).alias(c) if c in values else F.col(c) for c in now.columns]))
+        last = self._at()
+        hit, rest = self._touched(last, self._with_file(last).where(holds))
+        now = self._read(last, hit)
+        self._change("UPDATE", now.select(*[F.when(holds, values[c]).otherwise(F.col(c)).cast(now.schema[c].dataType).alias(c) if c in values else F.col(c) for c in now.columns]), rest)
 
     def delete(self, condition: Column) -> None:
-        """Drop the rows for which ``condition`` is true; where it is null a row stays."""
-        self._change("DELETE", self.read().where(~F.coalesce(condition, F.lit(False))))
+        """Drop the rows for which ``condition`` is true, from the files that hold them; where it is null a row stays."""
+        holds = F.coalesce(condition, F.lit(False))
+        last = self._at()
+        hit, rest = self._touched(last, self._with_file(last).where(holds))
+        self._change("DELETE", self._read(last, hit).where(~holds), rest)
+
+    def merge(self, source: DataFrame, on: Sequence[str], clauses: Sequence[Clause], batch: tuple[str, int] | None = None) -> bool:
+        """Merge ``source``; files without a matched key stay, unless a clause speaks of rows that the source lacks.
 
-    def merge(self, source: DataFrame, on: Sequence[str], clauses: Sequence[Clause]) -> None:
-        self._change("MERGE", merge(self.read(), source, on, clauses))
+        ``batch`` names a stream and its batch; one that the table has had is passed over, so a
+        replay changes nothing. Returns whether the merge was made.
+        """
+        last = self._at()
+        done = {}
+        if batch:
+            name, number = f"stream.{batch[0]}", batch[1]
+            if int(last["properties"].get(name, "-1")) >= number:
+                return False
+            done = {"set_properties": {name: str(number)}}
+        if any(c.when == "not_matched_by_source" for c in clauses):
+            hit, rest = last["data"], []
+        else:
+            hit, rest = self._touched(last, self._with_file(last).join(source.select(*on), list(on), "left_semi"))
+        self._change("MERGE", merge(self._read(last, hit), source, on, clauses), rest, **done)
+        return True
 
     def restore(self, version: int) -> None:
         """Make an old version current, as a new version."""
@@ -164,32 +225,48 @@ class VersionedTable:
         self._commit(last["version"] + 1, "RESTORE", old["data"], StructType.fromJson(json.loads(old["schema"])), last["properties"], restored=version)
 
     def history(self) -> DataFrame:
-        """(version, timestamp, operation, parts), newest last."""
-        rows = [(e["version"], e["timestamp"], e["operation"], len(e["data"])) for e in self._entries()]
+        """(version, timestamp, operation, parts), newest last; parts counts data folders."""
+        rows = [(e["version"], e["timestamp"], e["operation"], len({f.rsplit("/", 1)[0] for f in e["data"]})) for e in self._entries()]
         return self.spark.createDataFrame(rows, "version long, timestamp double, operation string, parts int")
 
     def changes(self, key: Sequence[str], start: int, end: int | None = None) -> DataFrame:
-        """Change feed by ``key`` of versions ``start`` to ``end``: insert, delete, update_preimage, update_postimage."""
-        entries = [e for e in self._entries() if e["version"] >= start - 1 and (end is None or e["version"] <= end)]
+        """Change feed by ``key`` of versions ``start`` to ``end``: insert, delete, update_preimage, update_postimage.
+
+        Files that two versions share hold no change, so only the others are compared.
+        """
+        entries = [self._entry(v) for v in self._versions() if v >= start - 1 and (end is None or v <= end)]
         out = None
         for a, b in zip(entries, entries[1:], strict=False):
-            feed = snapshot_changes(self._read(a), self._read(b), key).withColumn("_commit_version", F.lit(b["version"]).cast("long"))
+            same = set(a["data"]) & set(b["data"])
+            old, new = (self._read(e, [f for f in e["data"] if f not in same]) for e in (a, b))
+            feed = snapshot_changes(old, new, key).withColumn("_commit_version", F.lit(b["version"]).cast("long"))
             out = feed if out is None else out.unionByName(feed, allowMissingColumns=True)
         if out is None:
             raise ValueError("no change lies in that range")
         return out
 
-    def optimize(self, files: int = 1, by: Sequence[str] = ()) -> None:
-        """Rewrite into ``files`` files, clustered by ranges of ``by``."""
-        now = self.read()
-        self._change("OPTIMIZE", now.repartitionByRange(files, *by).sortWithinPartitions(*by) if by else now.repartition(files))
-
-    def vacuum(self, keep_versions: int = 1, dry_run: bool = False) -> list[str]:
-        """Drop data folders that none of the last ``keep_versions`` versions lists; returns their names."""
-        entries = self._entries()
-        used = {d for e in entries[-keep_versions:] for d in e["data"]}
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self.path)) if s.getPath().getName().startswith("data-")]
-        gone = sorted(d for d in found if d not in used)
+    def optimize(self, files: int = 1, by: Sequence[str] = (), where: Column | None = None, zorder: bool = False) -> None:
+        """Rewrite into ``files`` files, clustered by ranges of ``by`` or along a Z-curve over them; with ``where`` the files with such rows alone."""
+        last = self._at()
+        hit, rest = (last["data"], []) if where is None else self._touched(last, self._with_file(last).where(where))
+        now = self._read(last, hit)
+        if by and zorder:
+            laid = now.withColumn("__z", z_value(now, by)).repartitionByRange(files, "__z").sortWithinPartitions("__z").drop("__z")
+        elif by:
+            laid = now.repartitionByRange(files, *by).sortWithinPartitions(*by)
+        else:
+            laid = now.repartition(files)
+        self._change("OPTIMIZE", laid, rest)
+
+    def vacuum(self, keep_versions: int = 1, dry_run: bool = False, retain_hours: float = 168.0) -> list[str]:
+        """Drop data folders that none of the last ``keep_versions`` versions lists and that are older than ``retain_hours``; returns their names.
+
+        A young folder may belong to a writer that has yet to commit, so it stays.
+        """
+        used = {f.rsplit("/", 1)[0] for v in self._versions()[-keep_versions:] for f in self._entry(v)["data"]}
+        limit = (time.time() - 3600 * retain_hours) * 1000
+        found = [s for s in self._fs.listStatus(self._hadoop(self.path)) if s.getPath().getName().startswith("data-")]
+        gone = sorted(s.getPath().getName() for s in found if s.getPath().getName() not in used and s.getModificationTime() <= limit)
         if not dry_run:
             for d in gone:
                 self._fs.delete(self._hadoop(f"{self.path}/{d}"), True)
@@ -199,23 +276,59 @@ class VersionedTable:
         last = self._at()
         self._commit(last["version"] + 1, "SET PROPERTIES", last["data"], StructType.fromJson(json.loads(last["schema"])), {**last["properties"], **properties})
 
+    def comment(self, **comments: str) -> None:
+        """Set the comments of columns; no data is written."""
+        last = self._at()
+        schema = StructType.fromJson(json.loads(last["schema"]))
+        fields = [StructField(f.name, f.dataType, f.nullable, {**f.metadata, "comment": comments[f.name]} if f.name in comments else f.metadata) for f in schema]
+        self._commit(last["version"] + 1, "COMMENT", last["data"], StructType(fields), last["properties"])
+
     def alter(self, add: str = "", drop: Sequence[str] = (), rename: dict[str, str] | None = None) -> None:
-        """Add columns (DDL), drop or rename some; written as a new version."""
-        now = self.read()
-        kept = now.drop(*drop)
-        for a, b in (rename or {}).items():
+        """Add columns (DDL), drop or rename some. Added and dropped ones change the schema alone; a rename writes the data anew."""
+        last = self._at()
+        schema = StructType.fromJson(json.loads(last["schema"]))
+        extra = list(StructType.fromDDL(add)) if add else []
+        if not rename:
+            kept = StructType([*(f for f in schema if f.name not in drop), *extra])
+            self._commit(last["version"] + 1, "ALTER", last["data"], kept, last["properties"])
+            return
+        kept = self.read().drop(*drop)
+        for a, b in rename.items():
             kept = kept.withColumnRenamed(a, b)
-        for f in StructType.fromDDL(add) if add else ():
+        for f in extra:
             kept = kept.withColumn(f.name, F.lit(None).cast(f.dataType))
         self._change("ALTER", kept)
 
-    def clone(self, path: str) -> VersionedTable:
-        """A deep copy of the current version."""
-        return VersionedTable.create(self.read(), path, self._at()["properties"])
+    def clone(self, path: str, shallow: bool = False) -> VersionedTable:
+        """A copy of the current version: of its data, or ``shallow`` of the list of its files, which must then outlive this table's vacuum."""
+        last = self._at()
+        if not shallow:
+            return VersionedTable.create(self.read(), path, last["properties"])
+        made = VersionedTable(self.spark, path)
+        made._commit(0, "CLONE", [self._place(f) for f in last["data"]], StructType.fromJson(json.loads(last["schema"])), last["properties"])
+        return made
 
     def detail(self) -> dict:
         last = self._at()
-        return {"version": last["version"], "parts": len(last["data"]), "properties": last["properties"], "columns": [f["name"] for f in json.loads(last["schema"])["fields"]]}
+        fields = json.loads(last["schema"])["fields"]
+        return {
+            "version": last["version"], "parts": len(last["data"]), "properties": last["properties"], "columns": [f["name"] for f in fields],
+            "comments": {f["name"]: f["metadata"]["comment"] for f in fields if "comment" in f["metadata"]},
+        }
+
+
+def z_value(df: DataFrame, by: Sequence[str], bits: int = 8) -> Column:
+    """Place on a Z-curve: the bits of each column's approximate quantile number, interleaved."""
+    def number(c: str) -> Column:
+        edges = sorted(set(df.approxQuantile(c, [k / (1 << bits) for k in range(1, 1 << bits)], 0.005)))  # 255 numbers a column
+        return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(c))) if edges else F.lit(0)
+
+    numbers = [number(c) for c in by]
+    z = F.lit(0).cast("long")
+    for bit in range(bits):
+        for k, n in enumerate(numbers):
+            z = z.bitwiseOR(F.shiftleft(F.shiftright(n, bit).bitwiseAND(1).cast("long"), bit * len(by) + k))
+    return z
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -234,78 +347,108 @@ def snapshot_changes(old: DataFrame, new: DataFrame, key: Sequence[str]) -> Data
     return met.select(F.inline(rows)).select("row.*", "_change_type")
 
 
+def _customers(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", "c_name", "c_acctbal")
+
+
 def _base(t: Tables) -> VersionedTable:
-    return VersionedTable.create(t.customer.select("c_custkey", "c_name", "c_acctbal").where("c_custkey <= 300"), new_path(t.spark, "versioned"))
+    return VersionedTable.create(_customers(t), new_path(t.spark, "versioned"))
 
 
-_B = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey <= 300)"
+_C = "(SELECT c_custkey, c_name, c_acctbal FROM customer)"
 
 
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey <= 450")
+@query(f"SELECT * FROM {_C}")
 def tbl_append(t: Tables) -> DataFrame:
-    v = _base(t)
-    v.append(t.customer.select("c_custkey", "c_name", "c_acctbal").where("c_custkey BETWEEN 301 AND 450"))
+    building = F.col("c_mktsegment") == "BUILDING"
+    parts = [t.customer.where(p).select("c_custkey", "c_name", "c_acctbal") for p in (building, ~building)]
+    v = VersionedTable.create(parts[0], new_path(t.spark, "versioned"))
+    v.append(parts[1])
     return v.read()
 
 
-@query(f"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM {_B}")
+@query(f"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN upper(c_name) ELSE c_name END AS c_name, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM {_C}")
 def dml_update(t: Tables) -> DataFrame:
     v = _base(t)
     v.update({"c_acctbal": F.lit(0.0), "c_name": F.upper("c_name")}, F.col("c_acctbal") < 0)
     return v.read()
 
 
-@query(f"SELECT * FROM {_B} WHERE NOT (c_acctbal < 0)")
+@query(f"SELECT * FROM {_C} WHERE NOT (c_acctbal < 0)")
 def dml_delete(t: Tables) -> DataFrame:
     v = _base(t)
     v.delete(F.col("c_acctbal") < 0)
     return v.read()
 
 
-_MERGED = f"""SELECT t.c_custkey, t.c_name, CASE WHEN s.c_custkey IS NOT NULL THEN t.c_acctbal + 100 ELSE t.c_acctbal END AS c_acctbal FROM {_B} t LEFT JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 250 AND 350) s USING (c_custkey)
-WHERE NOT (s.c_custkey IS NOT NULL AND t.c_custkey % 10 = 0) UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey BETWEEN 301 AND 350"""
+_T = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey < 20)"
+_S = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey > 12)"
 
 
-def _merge(t: Tables, v: VersionedTable) -> None:
-    source = t.customer.where("c_custkey BETWEEN 250 AND 350").select("c_custkey", "c_name", "c_acctbal")
-    v.merge(source, ["c_custkey"], [
-        Clause("matched", "delete", F.col("t.c_custkey") % 10 == 0), Clause("matched", "update", values={"c_acctbal": F.col("t.c_acctbal") + 100}), Clause("not_matched", "insert"),
+def _merge(t: Tables) -> VersionedTable:
+    """Customers of the nations below 20, merged with those of the nations above 12."""
+    rows = lambda p: t.customer.where(p).select("c_custkey", "c_name", "c_acctbal")
+    v = VersionedTable.create(rows("c_nationkey < 20"), new_path(t.spark, "versioned"))
+    v.merge(rows("c_nationkey > 12"), ["c_custkey"], [
+        Clause("matched", "delete", F.col("t.c_acctbal") < 0), Clause("matched", "update", values={"c_acctbal": F.col("t.c_acctbal") + 100}), Clause("not_matched", "insert"),
     ])
+    return v
 
 
-@query(_MERGED)
+@query(f"""SELECT t.c_custkey, t.c_name, CASE WHEN s.c_custkey IS NOT NULL THEN t.c_acctbal + 100 ELSE t.c_acctbal END AS c_acctbal FROM {_T} t LEFT JOIN {_S} s USING (c_custkey)
+WHERE NOT (s.c_custkey IS NOT NULL AND t.c_acctbal < 0) UNION ALL SELECT * FROM {_S} WHERE c_custkey NOT IN (SELECT c_custkey FROM {_T})""")
 def dml_merge(t: Tables) -> DataFrame:
+    return _merge(t).read()
+
+
+@query(f"SELECT c_custkey, c_name, CASE WHEN c_custkey NOT IN (SELECT c_custkey FROM {_S}) THEN 0 ELSE c_acctbal END AS c_acctbal FROM {_C}")
+def dml_merge_by_source(t: Tables) -> DataFrame:
     v = _base(t)
-    _merge(t, v)
+    source = t.customer.where("c_nationkey > 12").select("c_custkey", "c_name", "c_acctbal")
+    v.merge(source, ["c_custkey"], [Clause("not_matched_by_source", "update", values={"c_acctbal": F.lit(0.0)})])
     return v.read()
 
 
-@query(f"SELECT * FROM {_B}")
+@query(f"SELECT * FROM {_C}")
 def tbl_time_travel(t: Tables) -> DataFrame:
     v = _base(t)
-    v.delete(F.col("c_custkey") > 10)
+    v.delete(F.col("c_acctbal") > 10)
     return v.read(version=0)
 
 
 @query("SELECT * FROM (VALUES (0, 'CREATE', 1), (1, 'DELETE', 1), (2, 'RESTORE', 1)) x(version, operation, parts)")
 def tbl_history(t: Tables) -> DataFrame:
     v = _base(t)
-    v.delete(F.col("c_custkey") > 10)
+    v.delete(F.col("c_acctbal") > 10)
     v.restore(0)
     return v.history().select(F.col("version").cast("int").alias("version"), "operation", "parts")
 
 
-@query(f"""SELECT a.*, 'delete' AS _change_type FROM {_B} a WHERE c_custkey BETWEEN 250 AND 300 AND c_custkey % 10 = 0 UNION ALL SELECT a.*, 'update_preimage' FROM {_B} a WHERE c_custkey BETWEEN 250 AND 300 AND c_custkey % 10 <> 0
-UNION ALL SELECT c_custkey, c_name, c_acctbal + 100, 'update_postimage' FROM {_B} WHERE c_custkey BETWEEN 250 AND 300 AND c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, c_name, c_acctbal, 'insert' FROM customer WHERE c_custkey BETWEEN 301 AND 350""")
+@query(f"""WITH b AS (SELECT t.* FROM {_T} t JOIN {_S} s USING (c_custkey)) SELECT *, 'delete' AS _change_type FROM b WHERE c_acctbal < 0 UNION ALL SELECT *, 'update_preimage' FROM b WHERE NOT c_acctbal < 0
+UNION ALL SELECT c_custkey, c_name, c_acctbal + 100, 'update_postimage' FROM b WHERE NOT c_acctbal < 0 UNION ALL SELECT *, 'insert' FROM {_S} WHERE c_custkey NOT IN (SELECT c_custkey FROM {_T})""")
 def tbl_cdf(t: Tables) -> DataFrame:
-    v = _base(t)
-    _merge(t, v)
-    return v.changes(["c_custkey"], 1).drop("_commit_version")
+    return _merge(t).changes(["c_custkey"], 1).drop("_commit_version")
 
 
-@query(f"SELECT * FROM {_B}")
+@query(f"SELECT * FROM {_C}")
 def tbl_optimize(t: Tables) -> DataFrame:
     v = _base(t)
     v.optimize(2, ["c_acctbal"])
-    v.vacuum()
+    v.optimize(1, where=F.col("c_acctbal") < 0)
+    v.vacuum(retain_hours=0)
+    return v.read()
+
+
+@query(f"SELECT * FROM {_C}")
+def tbl_zorder(t: Tables) -> DataFrame:
+    v = _base(t)
+    v.optimize(4, ["c_custkey", "c_acctbal"], zorder=True)
+    return v.clone(new_path(t.spark, "clone"), shallow=True).read()
+
+
+@query(f"SELECT c_custkey, c_acctbal, CAST(NULL AS VARCHAR) AS note FROM {_C}")
+def tbl_alter(t: Tables) -> DataFrame:
+    v = _base(t)
+    v.alter(add="note string", drop=["c_name"])
+    v.comment(note="free text")
     return v.read()

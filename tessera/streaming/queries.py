@@ -6,12 +6,15 @@ update mode the result equals the batch twin, which the oracles state.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import quality as rules
 from tessera.operators.catalog import Tables, query
 from tessera.plans.storage import new_path, written
 from tessera.sources.versioned import Clause, VersionedTable
@@ -28,18 +31,46 @@ def event_stream(t: Tables, files_per_trigger: int | None = None) -> DataFrame:
     return reader.parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming frame to its end and return what it gave; complete mode keeps the last batch's result."""
+def drained(stream: DataFrame, mode: str = "append", state: str | None = None, out: str | None = None, trigger: dict | None = None) -> DataFrame:
+    """Run a streaming frame to its end and return what it gave; complete mode keeps the last batch's result.
+
+    In update mode a batch has a folder of its own that a replay overwrites, so no
+    row comes twice. ``state`` and ``out`` may name the folders of an earlier run,
+    which then goes on; ``trigger`` is availableNow unless it says otherwise.
+    """
     spark = stream.sparkSession
-    out, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    out, state = out or new_path(spark, "stream-out"), state or new_path(spark, "stream-state")
+    writer = stream.writeStream.option("checkpointLocation", state).trigger(**(trigger or {"availableNow": True}))
     if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(
-            lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-        ).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch-{batch:09d}")
+
+    writer.outputMode(mode).foreachBatch(put).start().awaitTermination()
+    reader = spark.read.schema(stream.schema)
+    return reader.parquet(out) if mode == "complete" else reader.option("recursiveFileLookup", "true").parquet(out)
+
+
+def progress(stream: DataFrame, sink: str = "memory", mode: str = "append", name: str | None = None, trigger: dict | None = None, until: int | None = None, limit: float = 60.0) -> dict:
+    """Run a named query into a memory, noop or console sink; (rows, batches, name, stopped) from its progress.
+
+    With ``until`` a query that does not end by itself is stopped once it has given so many rows, or after ``limit`` seconds.
+    """
+    name = name or f"q{uuid.uuid4().hex[:8]}"
+    q = stream.writeStream.queryName(name).outputMode(mode).format(sink).trigger(**(trigger or {"availableNow": True})).start()
+    rows = lambda: sum(p["numInputRows"] for p in q.recentProgress)
+    end = time.time() + limit
+    try:
+        if until is None:
+            q.awaitTermination()
+        else:
+            while rows() < until and time.time() < end and q.isActive:
+                q.awaitTermination(0.2)
+    finally:
+        q.stop()
+    return {"rows": rows(), "batches": len(q.recentProgress), "name": q.name, "active": q.isActive, "message": q.status["message"]}
 
 
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None]) -> None:
@@ -129,26 +160,31 @@ def stream_upsert(t: Tables) -> DataFrame:
     start = t.spark.createDataFrame([], "user_id long, last_event long, n long")
     table = VersionedTable.create(start, new_path(t.spark, "upsert"))
 
-    def apply(df: DataFrame, _: int) -> None:
+    def apply(df: DataFrame, batch: int) -> None:
         new = written(df.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count("*").alias("n")), "batch")
         added = {"last_event": F.greatest(F.col("t.last_event"), F.col("s.last_event")), "n": F.col("t.n") + F.col("s.n")}
-        table.merge(new, ["user_id"], [Clause("matched", "update", values=added), Clause("not_matched", "insert")])
+        table.merge(new, ["user_id"], [Clause("matched", "update", values=added), Clause("not_matched", "insert")], batch=("users", batch))
 
     each_batch(event_stream(t, 1).select("user_id", "event_id"), apply)
     return table.read()
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """Running count and total by user in state, as an update a batch."""
+def running_totals(events: DataFrame, idle_days: int = 365, late: str = "10 minutes") -> DataFrame:
+    """Running count and total by user in state, as an update a batch; a user's state goes once the watermark is ``idle_days`` past its last event."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
         for f in frames:
-            n, total = n + len(f), total + float(f["value"].sum())
-        state.update((n, total))
+            n, total, last = n + len(f), total + float(f["value"].sum()), max(last, int(f["ts"].max().timestamp() * 1000))
+        state.update((n, total, last))
+        state.setTimeoutTimestamp(last + idle_days * 86_400_000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
+    kept = events.select("user_id", "value", "ts").withWatermark("ts", late).groupBy("user_id")
+    return kept.applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double, last long", "update", "EventTimeTimeout")
 
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
@@ -165,24 +201,34 @@ class Pipeline:
 
     def __init__(self) -> None:
         self._made: dict[str, DataFrame] = {}
-        self._steps: dict[str, tuple[Callable[..., DataFrame], Sequence[str], dict[str, Column]]] = {}
+        self._steps: dict[str, tuple] = {}
+        self.broken: dict[str, dict[str, int]] = {}
+
+    def table(
+        self, *needs: str, expect: dict[str, Column] | None = None, expect_or_drop: dict[str, Column] | None = None, expect_or_fail: dict[str, Column] | None = None, view: bool = False
+    ) -> Callable:
+        """Registers a table, or with ``view`` a plan that its readers repeat; rows that break ``expect`` are counted in ``broken`` only."""
 
-    def table(self, *needs: str, expect_or_drop: dict[str, Column] | None = None) -> Callable:
         def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-            self._steps[f.__name__] = f, needs, expect_or_drop or {}
+            self._steps[f.__name__] = f, needs, (expect or {}, expect_or_drop or {}, expect_or_fail or {}), view
             return f
 
         return register
 
+    def view(self, *needs: str) -> Callable:
+        return self.table(*needs, view=True)
+
     def read(self, name: str, path: tuple[str, ...] = ()) -> DataFrame:
         if name in path:
             raise ValueError("the tables need one another: " + " > ".join((*path, name)))
         if name not in self._made:
-            build, needs, rules = self._steps[name]
+            build, needs, (counted, dropped, failing), view = self._steps[name]
             df = build(*[self.read(n, (*path, name)) for n in needs])
-            for rule in rules.values():
-                df = df.where(F.coalesce(rule, F.lit(False)))
-            self._made[name] = written(df, name)
+            kept = rules.expect(df, drop=dropped, fail=failing)
+            self._made[name] = kept if view else written(kept, name)
+            if (counted or dropped) and not view:
+                held = [F.sum((~F.coalesce(v, F.lit(False))).cast("long")).alias(k) for k, v in {**counted, **dropped}.items()]
+                self.broken[name] = {k: v or 0 for k, v in df.agg(*held).first().asDict().items()}
         return self._made[name]
 
 
@@ -213,3 +259,39 @@ def stream_medallion(t: Tables) -> DataFrame:
     bronze.write.parquet(landed)
     silver = drained(spark.readStream.schema(bronze.schema).parquet(landed).where("value IS NOT NULL").select(F.to_date("ts").alias("day"), "event_type"))
     return silver.groupBy("day", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, true AS batched, false AS active FROM events")
+def stream_progress(t: Tables) -> DataFrame:
+    """A named query's own account: rows by its progress, more than one batch, and stopped at its end."""
+    seen = progress(event_stream(t, 1).select("event_id"), "noop")
+    return t.spark.createDataFrame([(seen["rows"], seen["batches"] >= 2, seen["active"])], "rows long, batched boolean, active boolean")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_memory(t: Tables) -> DataFrame:
+    """Complete mode into a memory table that SQL reads."""
+    seen = progress(event_stream(t).groupBy("event_type").agg(F.count("*").alias("n")), "memory", "complete")
+    return t.spark.table(seen["name"])
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_restart(t: Tables) -> DataFrame:
+    """Two runs with one checkpoint: the second takes only what has come since, and nothing comes twice."""
+    spark, source = t.spark, new_path(t.spark, "events-in")
+    state, out = new_path(spark, "stream-state"), new_path(spark, "stream-out")
+    even = F.col("user_id") % 2 == 0
+    for part in (even, ~even):
+        t.events.where(part).write.mode("append").parquet(source)
+        got = drained(spark.readStream.schema(t.events.schema).parquet(source).select("event_id", "user_id"), state=state, out=out)
+    return got
+
+
+@query("SELECT true AS enough, true AS consecutive")
+def stream_rate(t: Tables) -> DataFrame:
+    """The rate source under a processing-time trigger, stopped from outside."""
+    name = f"rate{uuid.uuid4().hex[:8]}"
+    stream = t.spark.readStream.format("rate").option("rowsPerSecond", 50).load()
+    progress(stream, "memory", name=name, trigger={"processingTime": "200 milliseconds"}, until=50)
+    seen = t.spark.table(name).agg(F.count("*").alias("n"), F.max("value").alias("m"))
+    return seen.select((F.col("n") >= 50).alias("enough"), (F.col("m") + 1 == F.col("n")).alias("consecutive"))
