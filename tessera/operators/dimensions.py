@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import Tables, query
@@ -123,3 +124,46 @@ def gold(clean: DataFrame) -> DataFrame:
 @query("SELECT CAST(ts AS DATE) AS day, lower(event_type) AS event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 3) AS total FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def medallion_gold(t: Tables) -> DataFrame:
     return gold(silver(bronze(t.events, "b1")))
+
+
+def scd6(history: DataFrame, new: DataFrame, key: str, field: str, at: Column) -> DataFrame:
+    """History as in ``scd2``, with the current value of ``field`` beside every version and the previous one beside each."""
+    versions = scd2(history, new, key, [field], at)
+    order = W.partitionBy(key).orderBy("valid_from")
+    now = F.last(field).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return versions.withColumns({f"current_{field}": now, f"previous_{field}": F.lag(field).over(order)})
+
+
+@query(f"""SELECT c_custkey, c_mktsegment, valid_from, is_current, last(c_mktsegment) OVER (PARTITION BY c_custkey ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS current_c_mktsegment,
+lag(c_mktsegment) OVER (PARTITION BY c_custkey ORDER BY valid_from) AS previous_c_mktsegment FROM ({_SCD2})""")
+def scd6_hybrid(t: Tables) -> DataFrame:
+    opened, new = _history(t)
+    found = scd6(opened.drop("c_name"), new, "c_custkey", "c_mktsegment", F.lit("2024-06-01").cast("date"))
+    return found.select("c_custkey", "c_mktsegment", "valid_from", "is_current", "current_c_mktsegment", "previous_c_mktsegment")
+
+
+def with_inferred(dimension: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``dimension`` with a row for each key that facts have before it does: other columns null, ``inferred`` true until the row comes."""
+    known = dimension.withColumn("inferred", F.lit(False))
+    missing = facts.select(key).where(F.col(key).isNotNull()).distinct().join(dimension.select(key), key, "left_anti").withColumn("inferred", F.lit(True))
+    return known.unionByName(missing, allowMissingColumns=True)
+
+
+@query("""SELECT c_custkey, c_name, false AS inferred FROM customer WHERE c_nationkey < 15 UNION ALL SELECT DISTINCT o_custkey, NULL, true FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 15)""")
+def dim_inferred(t: Tables) -> DataFrame:
+    """Orders of customers that have not come yet."""
+    known = t.customer.where("c_nationkey < 15").select("c_custkey", "c_name")
+    return with_inferred(known, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name", "inferred")
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS day, lower(event_type) AS event_type, CASE WHEN user_id % 2 = 0 THEN 'b0' ELSE 'b1' END AS batch FROM events WHERE value IS NOT NULL")
+def medallion_increment(t: Tables) -> DataFrame:
+    """Two batches, the second of which brings all events again: rows that silver has are left out by an anti join."""
+    first = bronze(t.events.where("user_id % 2 = 0"), "b0")
+    second = bronze(t.events, "b1")
+    held = None
+    for raw in (first, second):
+        fresh = silver(raw).join(raw.select("event_id", F.col("_batch").alias("batch")).dropDuplicates(["event_id"]), "event_id")
+        new = fresh if held is None else fresh.join(held.select("event_id"), "event_id", "left_anti")
+        held = new if held is None else held.unionByName(new)
+    return held.select("event_id", "day", "event_type", "batch")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, analytics, catalog, dimensions, joins, projection, quality, sets, sql_surface, windows  # noqa: F401  the modules register their queries
-from tessera.functions import scalars, udfs  # noqa: F401
+from tessera.functions import extras, scalars, udfs  # noqa: F401
 from tessera.plans.session import table
 from tessera.sources import files, versioned  # noqa: F401
 from tessera.streaming import queries as _streams  # noqa: F401

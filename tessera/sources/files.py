@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -119,6 +122,75 @@ def scan_csv_modes(t: Tables) -> DataFrame:
     return read.select("id", "name", "corrupt")
 
 
+def _lines(t: Tables, *lines: str) -> str:
+    path = new_path(t.spark, "lines")
+    t.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b')) v(id, name)")
+def scan_csv_drop(t: Tables) -> DataFrame:
+    """Malformed lines are dropped."""
+    return t.spark.read.option("mode", "DROPMALFORMED").schema("id int, name string").csv(_lines(t, "1,a", "x,c", "2,b", "3,d,e,f"))
+
+
+@query("SELECT true AS failed")
+def scan_csv_failfast(t: Tables) -> DataFrame:
+    """A malformed line fails the read."""
+    try:
+        t.spark.read.option("mode", "FAILFAST").schema("id int, name string").csv(_lines(t, "1,a", "x,c")).collect()
+        failed = False
+    except (PySparkException, Py4JJavaError):
+        failed = True
+    return t.spark.createDataFrame([(failed,)], "failed boolean")
+
+
+@query("SELECT * FROM (VALUES (1, 'a', NULL), (2, NULL, 5)) v(id, name, extra)")
+def scan_json_multiline(t: Tables) -> DataFrame:
+    """Documents over several lines, with fields that some lack."""
+    path = _lines(t, "[{", '"id": 1, "name": "a"', "}, {", '"id": 2,', '"extra": 5}]')
+    return t.spark.read.option("multiLine", True).schema("id int, name string, extra int").json(path)
+
+
+@query("SELECT c_custkey AS id, c_name AS name, NULL AS balance FROM customer WHERE c_nationkey < 12 UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer WHERE c_nationkey >= 12")
+def scan_merge_schema(t: Tables) -> DataFrame:
+    """Parquet files of two schemas, read as one."""
+    base, low = new_path(t.spark, "merged"), F.col("c_nationkey") < 12
+    t.customer.where(low).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.parquet(f"{base}/p=1")
+    t.customer.where(~low).select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")).write.parquet(f"{base}/p=2")
+    return t.spark.read.option("mergeSchema", "true").parquet(base).select("id", "name", "balance")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer")
+def scan_rdd(t: Tables) -> DataFrame:
+    """Rows of an RDD under an explicit schema."""
+    return t.spark.createDataFrame(t.customer.select("c_custkey", "c_nationkey").rdd.map(tuple), "c_custkey long, c_nationkey int")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_custkey")
+def sink_codecs(t: Tables) -> DataFrame:
+    """One third each through snappy, gzip and zstd Parquet files."""
+    base = new_path(t.spark, "codecs")
+    for k, codec in enumerate(("snappy", "gzip", "zstd")):
+        _cust(t).where(F.pmod("c_custkey", F.lit(3)) == k).write.option("compression", codec).parquet(f"{base}/{codec}")
+    return t.spark.read.option("recursiveFileLookup", "true").schema(_cust(t).schema).parquet(base)
+
+
+@query("SELECT count(*) AS n FROM customer")
+def sink_tables(t: Tables) -> DataFrame:
+    """saveAsTable, then insertInto, by way of the catalog."""
+    name = f"tessera_{uuid.uuid4().hex[:12]}"
+    rows = t.customer.select("c_custkey", "c_nationkey")
+    low = F.col("c_nationkey") < 12
+    try:
+        rows.where(low).write.saveAsTable(name)
+        rows.where(~low).write.insertInto(name)
+        n = t.spark.table(name).count()
+    finally:
+        t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return t.spark.createDataFrame([(n,)], "n long")
+
+
 @query("SELECT count(*) AS n, CAST(2 AS BIGINT) AS folders FROM (SELECT 1 FROM customer UNION ALL SELECT 1 FROM customer)")
 def scan_glob(t: Tables) -> DataFrame:
     base = new_path(t.spark, "glob")
@@ -161,7 +233,7 @@ def scan_partitioned(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
 
 
-for _name in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split():
+for _name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
 
     def _scan(t: Tables, name: str = _name) -> DataFrame:
         return getattr(t, name)
