@@ -26,6 +26,38 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
+def profile_more(df: DataFrame, columns: Sequence[str], top: int = 1) -> DataFrame:
+    """(column, present, distinct, top, top_n, skew, kurtosis, p25, p50, p75, score) of numeric columns.
+
+    One pass for the moments and percentiles, which are approximate, and one grouping
+    for the values; ``score`` is the share of values present, less that of the rows
+    that repeat the commonest one, at least 0.
+    """
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(c).alias("present"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"),
+            F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias("q"), F.count("*").alias("rows"),
+        )
+        for c in columns
+    ]
+    moments = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v IS NOT NULL")
+    counted = values.groupBy("column", "v").agg(F.count("*").alias("n"))
+    common = counted.groupBy("column").agg(F.count("*").alias("distinct"), F.max(F.struct("n", -F.col("v"))).alias("m"))
+    score = F.greatest((F.col("present") - F.coalesce(F.col("m.n"), F.lit(0)) + F.when(F.col("present") > 0, 1).otherwise(0)) / F.greatest("rows", F.lit(1)), F.lit(0.0))
+    met = moments.join(common, "column", "left")
+    return met.select(
+        "column", "present", F.coalesce("distinct", F.lit(0)).alias("distinct"), (-F.col("m.col2")).alias("top"), F.col("m.n").alias("top_n"), "skew", "kurtosis",
+        F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"), score.alias("score"),
+    )
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, r) for each two of ``columns``, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("p")).select(F.inline("p"))
+
+
 class Gate:
     """Named row rules; a rule that is null for a row fails there."""
 
@@ -250,6 +282,20 @@ def dq_profile(t: Tables) -> DataFrame:
     return profile(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select("column", "rows", "present", "min", "max")
 
 
+_LINE = ("l_quantity", "l_discount", "l_linenumber")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS present, count(DISTINCT {c}) AS "distinct", (SELECT arg_min({c}, (-n, {c})) FROM (SELECT {c}, count(*) AS n FROM lineitem GROUP BY 1))::DOUBLE AS top,
+(SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {c})) AS top_n FROM lineitem""" for c in _LINE))
+def dq_profile_more(t: Tables) -> DataFrame:
+    return profile_more(t.lineitem, _LINE).select("column", "present", "distinct", "top", "top_n")
+
+
+@query("SELECT 'l_quantity' AS a, 'l_discount' AS b, round(corr(l_quantity, l_discount), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_extendedprice', round(corr(l_quantity, l_extendedprice), 6) FROM lineitem UNION ALL SELECT 'l_discount', 'l_extendedprice', round(corr(l_discount, l_extendedprice), 6) FROM lineitem")
+def dq_correlations(t: Tables) -> DataFrame:
+    return correlations(t.lineitem, ["l_quantity", "l_discount", "l_extendedprice"]).withColumn("r", F.round("r", 6))
+
+
 def _gate() -> Gate:
     return Gate({"labelled": F.col("quality").isNotNull(), "sized": F.col("n").between(100, 5000), "spoken": F.col("lang").rlike("^(en|de)$")})
 
@@ -404,10 +450,10 @@ def set_join(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
 
 @query("""WITH w AS (SELECT s, min(k) AS k FROM (SELECT conv_id * 10000 + turn AS k, list_sort(list_distinct(string_split(lower(text), ' '))) AS s FROM conversations) GROUP BY 1),
 p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM w a JOIN w b ON a.k < b.k)
-SELECT a, b, round(i / u, 6) AS similarity FROM p WHERE i / u >= 0.3""")
+SELECT a, b, round(i / u, 6) AS similarity FROM p WHERE i / u >= 0.15""")
 def fuzzy_jaccard(t: Tables) -> DataFrame:
     sets = t.conversations.select((F.col("conv_id") * 10000 + F.col("turn")).alias("k"), F.split(F.lower("text"), " ").alias("s"))
-    return set_join(sets, "k", "s", 0.3).withColumn("similarity", F.round("similarity", 6))
+    return set_join(sets, "k", "s", 0.15).withColumn("similarity", F.round("similarity", 6))
 
 
 def bands(score: Column, match: float = 0.85, review: float = 0.7) -> Column:

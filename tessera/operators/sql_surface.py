@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+from itertools import pairwise
+
 from pyspark.sql import DataFrame
 
 from tessera.operators.catalog import ORACLES, QUERIES, Tables, query
@@ -58,3 +62,43 @@ def sql_unpivot(t: Tables) -> DataFrame:
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 4000")
 def sql_params(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT c_custkey FROM {c} WHERE c_mktsegment = :segment AND c_acctbal > :least", {"segment": "BUILDING", "least": 4000}, c=t.customer)
+
+
+@query("SELECT 2 AS tables, true AS described, true AS shown, count(*) AS rows, sum(c_nationkey) AS nations FROM customer WHERE c_acctbal > 0")
+def sql_ddl(t: Tables) -> DataFrame:
+    """CREATE DATABASE, USE, CTAS, INSERT, DESCRIBE, SHOW, TRUNCATE and DROP, in a database of its own."""
+    spark, name, before = t.spark, f"tessera_{uuid.uuid4().hex[:12]}", t.spark.catalog.currentDatabase()
+    run = lambda text, **frames: spark.sql(text, **frames)
+    run(f"CREATE DATABASE {name} COMMENT 'a test'")
+    try:
+        run(f"USE {name}")
+        run("CREATE TABLE rich USING parquet AS SELECT c_custkey, c_nationkey FROM {c} WHERE c_acctbal > 0", c=t.customer)
+        run("CREATE TABLE other (k BIGINT COMMENT 'key') USING parquet")
+        run("INSERT INTO other SELECT c_custkey FROM rich")
+        run("TRUNCATE TABLE other")
+        tables = run("SHOW TABLES").count()
+        described = {r.col_name for r in run("DESCRIBE TABLE rich").collect()} >= {"c_custkey", "c_nationkey"}
+        shown = "parquet" in run("SHOW CREATE TABLE other").first()[0].lower() and run("SELECT * FROM other").isEmpty()
+        shown = shown and name in [d.name for d in spark.catalog.listDatabases()] and {x.name for x in spark.catalog.listTables()} >= {"rich", "other"}
+        rows, nations = run("SELECT count(*), sum(c_nationkey) FROM rich").first()
+    finally:
+        run(f"USE {before}")
+        run(f"DROP DATABASE IF EXISTS {name} CASCADE")
+    return spark.createDataFrame([(tables, described, shown, rows, nations)], "tables int, described boolean, shown boolean, rows long, nations long")
+
+
+@query("SELECT 'first' AS action, min(o_orderkey) AS value FROM orders UNION ALL SELECT 'head', min(o_orderkey) FROM orders UNION ALL SELECT 'take', 3 UNION ALL SELECT 'tail', max(o_orderkey) FROM orders UNION ALL SELECT 'iterated', count(*) FROM orders UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'top', max(o_orderkey) FROM orders UNION ALL SELECT 'glom', 4 UNION ALL SELECT 'sorted', 1")
+def actions(t: Tables) -> DataFrame:
+    """The actions that hand rows to the driver, each bounded or streamed, and sorted partitions."""
+    keys = t.orders.select("o_orderkey").orderBy("o_orderkey")
+    parts = t.orders.select("o_orderkey").repartition(4).sortWithinPartitions("o_orderkey")
+    ordered = parts.rdd.mapPartitions(lambda rows: [_ascending(r.o_orderkey for r in rows)]).min()
+    found = {
+        "first": keys.first()[0], "head": keys.head(1)[0][0], "take": len(keys.take(3)), "tail": keys.tail(1)[0][0], "iterated": sum(1 for _ in keys.toLocalIterator()), "empty": int(keys.isEmpty()),
+        "top": t.orders.select("o_orderkey").rdd.map(lambda r: r[0]).top(1)[0], "glom": parts.rdd.getNumPartitions(), "sorted": ordered,
+    }
+    return t.spark.createDataFrame(list(found.items()), "action string, value long")
+
+
+def _ascending(values: Iterable[int]) -> int:
+    return int(all(a <= b for a, b in pairwise(values)))

@@ -6,6 +6,7 @@ copy lives on an executor's own disk.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,13 +15,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: dict[str, list[list[str]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -33,9 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if open_scopes := _scopes.get(spark.sparkContext.applicationId):
+        open_scopes[-1].append(path)
     return path
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Paths made within the block are deleted at its end, for long sessions; results must have been consumed by then."""
+    outer = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    outer.append([])
+    try:
+        yield
+    finally:
+        for path in outer.pop():
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (``__`` for dots) within the block; former values return after it."""
