@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import compression_quality, license_digest, line_rules, line_templates, mixing, oracles, phrase_index, secret_scan, simhash, token_files, warc
+from tessera.llm.workers import spread
 from tessera.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +29,13 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_rules.assess(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return found.select("doc_id", *(f"rules.{c}" for c in names), "rules.n_bad_lines", "rules.n_lost_words")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_digest.scan(table(spark, sf_dir, "documents"), license_digest.license_texts(spark))
+    return license_digest.scan(spread(table(spark, sf_dir, "documents")), license_digest.license_texts(spark))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = phrase_index.decontaminate(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -62,7 +63,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:

@@ -29,3 +29,14 @@ def row_key(df: DataFrame) -> Column:
     # xxhash64 passes over nulls, so which columns are null is hashed too
     whole = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(parts, df.schema.fields, strict=True)]
     return F.xxhash64(*whole, F.array(*[c.isNull() for c in parts]))
+
+
+def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
+    """A small table dealt to all cores, for row-local work that costs far more than its reading; others as they are.
+
+    A file of one row group is one task however long its rows take.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_core else df
