@@ -65,7 +65,7 @@ def fn_schema_of_json(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT * FROM (VALUES ('$1,234.5', 1234.5, 2, 1234), ('x', NULL, NULL, NULL), (NULL, NULL, NULL, NULL)) v(raw, number, half_even, whole)""")
+@query("""SELECT * FROM (VALUES ('$1,234.5', 1234.5::DOUBLE, 2, 1234), ('x', NULL, NULL, NULL), (NULL, NULL, NULL, NULL)) v(raw, number, half_even, whole)""")
 def fn_try(t: Tables) -> DataFrame:
     raw = t.spark.createDataFrame([("$1,234.5",), ("x",), (None,)], "raw string")
     number = F.try_to_number("raw", F.lit("$9,999.9")).cast("double")

@@ -15,7 +15,7 @@ _SHARED = {
     "sql_exists": "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
     "sql_not_exists": "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
     "sql_in_subquery": "SELECT s_suppkey FROM {supplier} WHERE s_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 2)",
-    "sql_subquery": "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM {orders})",
+    "sql_subquery": "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM {orders})",
     "sql_correlated": "SELECT p_partkey FROM {part} p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM {part} q WHERE q.p_brand = p.p_brand)",
     "sql_cte": "WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY o_custkey), top AS (SELECT o_custkey FROM spend WHERE s > 1500000) SELECT c.c_custkey, c.c_mktsegment FROM {customer} c JOIN top ON c.c_custkey = top.o_custkey",
     "sql_having": "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 14",
@@ -64,7 +64,7 @@ def sql_params(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT c_custkey FROM {c} WHERE c_mktsegment = :segment AND c_acctbal > :least", {"segment": "BUILDING", "least": 4000}, c=t.customer)
 
 
-@query("SELECT 2 AS tables, true AS described, true AS shown, count(*) AS rows, sum(c_nationkey) AS nations FROM customer WHERE c_acctbal > 0")
+@query("SELECT 2 AS tables, true AS described, true AS shown, count(*) AS rows, CAST(sum(c_nationkey) AS BIGINT) AS nations FROM customer WHERE c_acctbal > 0")
 def sql_ddl(t: Tables) -> DataFrame:
     """CREATE DATABASE, USE, CTAS, INSERT, DESCRIBE, SHOW, TRUNCATE and DROP, in a database of its own."""
     spark, name, before = t.spark, f"tessera_{uuid.uuid4().hex[:12]}", t.spark.catalog.currentDatabase()
