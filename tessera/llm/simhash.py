@@ -44,7 +44,7 @@ BLOCKS = 8
 NEAR_WORDS = 5
 ALIKE = 0.8
 WIDE_DISTANCE = 24
-CELLS = 64
+CELLS = 96
 CELL_BITS = 32
 _EVEN = 0x5555555555555555
 _SLICE = 1 << 16
@@ -161,19 +161,20 @@ def wide_fingerprint(words: list[bytes]) -> tuple[int, int]:
 
 
 def wide_links(nodes: DataFrame, max_distance: int = WIDE_DISTANCE, cells: int = CELLS, bits: int = CELL_BITS) -> DataFrame:
-    """Candidate pairs (src, dst) of ``nodes`` (fp, hi, lo) whose wide fingerprints share a cell and differ in few bits.
+    """Candidate pairs (src, dst) of ``nodes`` (fp, hi, lo, id) whose wide fingerprints share a cell and differ in few bits.
 
     A cell is a seeded choice of ``bits`` of the 128 one-bit segments. Within a cell
-    every member meets the one of least ``fp``, so a cell gives fewer pairs than it has
-    members, however many near copies it holds.
+    every member meets the one of least id, nulls last, so a cell gives fewer pairs than
+    it has members, however many near copies it holds.
     """
     rng = random.Random(SEED)
     keys = []
     for k in range(cells):
         mask = sum(1 << i for i in rng.sample(range(128), bits))
         keys.append(F.xxhash64(F.lit(k), F.col("hi").bitwiseAND(_signed(mask >> 64)), F.col("lo").bitwiseAND(_signed(mask & (1 << 64) - 1))))
-    dealt = nodes.select("fp", "hi", "lo", F.explode(F.array(*keys)).alias("cell")).repartition("cell")
-    least = dealt.groupBy("cell").agg(F.min(F.struct("fp", "hi", "lo")).alias("a"), F.count("*").alias("n")).where("n > 1")
+    dealt = nodes.select("fp", "hi", "lo", "id", F.explode(F.array(*keys)).alias("cell")).repartition("cell")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hi", "lo")
+    least = dealt.groupBy("cell").agg(F.min(order).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = dealt.join(least, "cell").where(F.col("fp") != F.col("a.fp"))
     off = F.bit_count(F.col("hi").bitwiseXOR(F.col("a.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("a.lo")))
     return met.where(off <= max_distance).select(F.col("a.fp").alias("src"), F.col("fp").alias("dst")).distinct()
@@ -216,7 +217,7 @@ def _shingles(docs: DataFrame, text_col: str) -> DataFrame:
 def alike_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (src, dst) of wide candidates whose five-word Jaccard similarity is ``ALIKE`` or more, counted over whole texts.
 
-    ``nodes`` is (fp, hi, lo, key), key naming the row of ``docs`` (by its column __tessera_key) that stands for the fingerprint.
+    ``nodes`` is (fp, hi, lo, id, key), key naming the row of ``docs`` (by its column __tessera_key) that stands for the fingerprint.
     """
     pairs = written(wide_links(nodes), "wide-pairs")
     ends = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
@@ -238,7 +239,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = written(_described(keyed, id_col, text_col), "described", BATCH_ROWS)
     ranked = rows.withColumn("order", F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     nodes = written(ranked.groupBy("fp").agg(F.min(F.struct("order", "hi", "lo")).alias("m")).select("fp", "m.*"), "nodes")
-    wide = alike_links(keyed, nodes.select("fp", "hi", "lo", F.col("order.key").alias("key")), text_col)
+    wide = alike_links(keyed, nodes.select("fp", "hi", "lo", "order.id", "order.key"), text_col)
     member = connected_components(grid_links(nodes.select("fp")).unionAll(wide))
     grouped = nodes.join(member, nodes["fp"] == member["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("order").alias("order"))
     stay = written(grouped.select(F.col("order.key").alias("__tessera_stay")), "stay")
