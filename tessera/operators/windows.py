@@ -27,11 +27,11 @@ def latest(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFra
 
 
 def sessions(df: DataFrame, user: str, ts: str, gap_seconds: int, tie: str) -> DataFrame:
-    """Adds session: 1, 2, ... per user, a new one after a gap of more than ``gap_seconds``."""
-    w = W.partitionBy(user).orderBy(ts, tie)
-    second = F.unix_seconds(F.col(ts).cast("timestamp"))
-    seconds = second - F.lag(second).over(w)
-    begins = F.when(F.coalesce(seconds, F.lit(gap_seconds + 1)) > gap_seconds, 1).otherwise(0)
+    """Adds session: 1, 2, ... per user, a new one after a gap of more than ``gap_seconds``, fractions counted; rows without a time come last, each a session."""
+    w = W.partitionBy(user).orderBy(F.asc_nulls_last(ts), F.asc_nulls_last(tie))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
+    begins = F.when(gap <= gap_seconds * 1_000_000, 0).otherwise(1)
     return df.withColumn("__new", begins).withColumn("session", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
 
 
