@@ -123,7 +123,7 @@ def grid_links(fps: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = B
     x = _counts(F.col("src")).bitwiseXOR(_counts(F.col("dst")))
     differ = sum((F.when(x.bitwiseAND(_signed(((1 << size) - 1) << size * i)) != 0, 1 << i).otherwise(0) for i in range(blocks)), F.lit(0))
     near = (manhattan(F.col("src"), F.col("dst")) <= max_distance) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_distance)
-    met = a.join(b, (a["k"] == b["k"]) & (a["cell"] == b["cell"]) & (F.col("src") < F.col("dst")) & near)
+    met = a.join(b.hint("merge"), (a["k"] == b["k"]) & (a["cell"] == b["cell"]) & (F.col("src") < F.col("dst")) & near)
     return met.where(F.get(F.array(*map(F.lit, first)), differ) == a["k"]).select("src", "dst")
 
 
@@ -139,12 +139,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints", BATCH_ROWS)
     nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     member = connected_components(grid_links(nodes.select("fp")))
-    linked = member.join(nodes, member["node"] == nodes["fp"]).select("node", "root", "least")
+    linked = member.join(nodes.hint("merge"), member["node"] == nodes["fp"]).select("node", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    reached = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    every = nodes.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    reached = linked.join(named.hint("merge"), "root").select(F.col("node").alias("fp"), "component_id")
+    every = nodes.join(reached.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     ids = written(every, "components")  # so that a hot fingerprint's partition can be split in the last join
-    return rows.join(ids, "fp").select(
+    return rows.join(ids.hint("merge"), "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

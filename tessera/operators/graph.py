@@ -20,12 +20,12 @@ def _lower(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,6 +43,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates large-star and small-star steps, each of which emits at most one
     row per edge, until the edges form stars; only a flag reaches the driver.
     Rows with a null end are dropped. Each round is written to the shared folder.
+    Joins are merge joins: a side of a few MB is below the threshold of a broadcast, and
+    many times that in the driver, which holds those of several rounds.
     """
     now = written(_lower(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna()), "edges")
     for _ in range(max_rounds):
