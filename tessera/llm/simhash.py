@@ -13,16 +13,18 @@ Exact copies and equal fingerprints are merged before the join, so it sees each
 fingerprint once, whatever the size of a group of copies.
 
 ``keep_one``, a filter without a contract of its own, takes five words and a
-similarity of 0.8: fingerprints of five-word shingles within three bits are linked
-as above, and pairs further apart are sought by a wide fingerprint of 128 bits over
-distinct words, in seeded grid cells of one-bit segments, and linked where their
-five-word Jaccard similarity, counted exactly, is 0.8 or more.
+similarity of 0.8: texts whose fingerprints of five-word shingles lie within three bits
+are linked as above, and all texts whose five-word Jaccard similarity, counted over whole
+texts, is 0.8 or more. A wide fingerprint of 128 bits over distinct words, in seeded grid
+cells of one-bit segments, links most of these in steps linear in a group's size; an exact
+join by prefixes then compares all texts that are not yet in one component.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -42,10 +44,13 @@ MAX_DISTANCE = 3
 BLOCKS = 8
 #: The filter's shingles and similarity; bits of its wide fingerprint that may differ, its cells, and bits of a cell.
 NEAR_WORDS = 5
-ALIKE = 0.8
+ALIKE = Fraction(4, 5)
 WIDE_DISTANCE = 24
-CELLS = 96
+CELLS = 32
 CELL_BITS = 32
+#: Frequent shingles, at most, that a prefix takes last, and the share of rows (one in so many) that they are counted on. They set the order only.
+COMMON = 1 << 16
+COMMON_SHARE = 16
 _EVEN = 0x5555555555555555
 _SLICE = 1 << 16
 
@@ -54,23 +59,24 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of all shingles; of the whole sequence where it is shorter than one."""
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _SLICE):  # very long texts in slices of bounded memory
+        counts += np.unpackbits(hashes[at : at + _SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    bits = np.packbits(counts * 2 > len(hashes)).tobytes()
+    return int.from_bytes(bits, "big", signed=True)
+
+
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     """Majority bits of the XXH64 of all word shingles, as a signed 64-bit integer; 0 without words."""
     words = _words(text)
-    if not words:
-        return 0
-    if len(words) < width:
-        shingles: list[bytes] = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), _SLICE):  # very long texts in slices of bounded memory
-        part = shingles[at : at + _SLICE]
-        hashes = np.fromiter((digest(s, SEED) for s in part), np.uint64, len(part))
-        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(shingles)).tobytes()
-    return int.from_bytes(bits, "big", signed=True)
+    return _majority(_hashes(words, width)) if words else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
@@ -175,27 +181,43 @@ def wide_links(nodes: DataFrame, max_distance: int = WIDE_DISTANCE, cells: int =
     dealt = nodes.select("fp", "hi", "lo", "id", F.explode(F.array(*keys)).alias("cell")).repartition("cell")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hi", "lo")
     least = dealt.groupBy("cell").agg(F.min(order).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = dealt.join(least, "cell").where(F.col("fp") != F.col("a.fp"))
+    met = dealt.join(least.hint("merge"), "cell").where(F.col("fp") != F.col("a.fp"))
     off = F.bit_count(F.col("hi").bitwiseXOR(F.col("a.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("a.lo")))
     return met.where(off <= max_distance).select(F.col("a.fp").alias("src"), F.col("fp").alias("dst")).distinct()
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, fp, hi, lo) of every row of ``docs``, which has a column __tessera_key."""
+def _described(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
+    """(key, id, t, fp, hi, lo, n, prefix) of every row of ``docs``, which has a column __tessera_key.
+
+    ``t`` names the sequence of words, ``n`` counts its distinct shingles; ``prefix`` has the first n // 5 + 1 of them,
+    those of ``common`` (from the rarest) after all others. Sets of a similarity of ``ALIKE`` share a shingle of these.
+    """
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    def order(s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, s)
+        at[at == len(known)] = 0
+        often = known[at] == s if len(known) else np.zeros(len(s), bool)
+        return np.concatenate([s[~often], common[np.sort(by_hash[at[often]])]])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[int]] = [[], [], []]
+            out: list[list] = [[] for _ in range(6)]
             for t in b.column(1):
-                text = t.as_py()
-                values = fingerprint(text, NEAR_WORDS), *wide_fingerprint(_words(text))
-                for column, value in zip(out, values, strict=True):
+                words = _words(t.as_py())
+                hashes = _hashes(words, NEAR_WORDS)
+                s = np.unique(hashes)
+                name = int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words), SEED), "big", signed=True)
+                prefix = order(s)[: len(s) - -(-len(s) * ALIKE.numerator // ALIKE.denominator) + 1].view(np.int64)
+                for column, value in zip(out, (name, _majority(hashes) if words else 0, *wide_fingerprint(words), len(s), prefix), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in out)], ["key", "id", "fp", "hi", "lo"])
+            columns = [*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], ["key", "id", "t", "fp", "hi", "lo", "n", "prefix"])
         give_back()
 
     kept = docs.select(F.col("__tessera_key").alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    return kept.mapInArrow(score, f"key long, id {kept.schema['id'].dataType.simpleString()}, fp long, hi long, lo long")
+    return kept.mapInArrow(score, f"key long, id {kept.schema['id'].dataType.simpleString()}, t long, fp long, hi long, lo long, n int, prefix array<long>")
 
 
 def _shingles(docs: DataFrame, text_col: str) -> DataFrame:
@@ -203,30 +225,61 @@ def _shingles(docs: DataFrame, text_col: str) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashed = []
-            for t in b.column(1):
-                words = _words(t.as_py())
-                joined = map(b" ".join, zip(*(words[i:] for i in range(NEAR_WORDS)), strict=False)) if len(words) >= NEAR_WORDS else [b" ".join(words)]
-                hashed.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64)).view(np.int64))
+            hashed = [np.unique(_hashes(_words(t.as_py()), NEAR_WORDS)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashed, pa.list_(pa.int64()))], ["key", "s"])
         give_back()
 
     return docs.select("__tessera_key", text_col).mapInArrow(cut, "key long, s array<long>")
 
 
-def alike_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text") -> DataFrame:
-    """Links (src, dst) of wide candidates whose five-word Jaccard similarity is ``ALIKE`` or more, counted over whole texts.
+def _common(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The most frequent shingles of one row in ``COMMON_SHARE``, from the rarest, at most ``COMMON``. They order prefixes, which decides the speed of the join alone."""
+    some = docs.where(F.pmod("__tessera_key", F.lit(COMMON_SHARE)) == 0)
+    count = _shingles(some, text_col).select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c > 3")
+    found = count.orderBy(F.desc("c"), "w").limit(COMMON).select("w").toArrow().column("w").to_numpy()
+    return found[::-1].copy().view(np.uint64)
+
 
-    ``nodes`` is (fp, hi, lo, id, key), key naming the row of ``docs`` (by its column __tessera_key) that stands for the fingerprint.
+def alike_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``pairs`` (src, dst, ...) whose five-word Jaccard similarity is ``ALIKE`` or more, counted over whole texts.
+
+    ``nodes`` is (t, key), key naming the row of ``docs`` (by its column __tessera_key) that stands for the text ``t``.
     """
-    pairs = written(wide_links(nodes), "wide-pairs")
-    ends = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
-    named = written(nodes.join(ends, "fp").select("fp", "key"), "wide-ends")
-    texts = docs.join(named.select(F.col("key").alias("__tessera_key")), "__tessera_key", "left_semi")
-    sets = written(_shingles(texts, text_col).dropDuplicates(["key"]).join(named, "key").select("fp", "s"), "shingles", BATCH_ROWS)
-    a, b = sets.select(F.col("fp").alias("src"), F.col("s").alias("x")), sets.select(F.col("fp").alias("dst"), F.col("s").alias("y"))
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("src").alias("t")).union(pairs.select("dst")).distinct()
+    named = written(nodes.join(ends.hint("merge"), "t").select("t", "key"), "ends")
+    texts = docs.join(named.select(F.col("key").alias("__tessera_key")).hint("merge"), "__tessera_key", "left_semi")
+    sets = written(_shingles(texts, text_col).dropDuplicates(["key"]).join(named.hint("merge"), "key").select("t", "s"), "shingles", BATCH_ROWS)
+    a, b = sets.select(F.col("t").alias("src"), F.col("s").alias("x")), sets.select(F.col("t").alias("dst"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "src").join(b, "dst").where(both >= ALIKE * (F.size("x") + F.size("y") - both)).select("src", "dst")
+    enough = both * (ALIKE.numerator + ALIKE.denominator) >= ALIKE.numerator * (F.size("x") + F.size("y"))
+    return pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(enough).select(*pairs.columns)
+
+
+def prefix_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (src, dst, one, other) of ``nodes`` (t, n, prefix, root) of different roots, complete for a similarity of ``ALIKE``.
+
+    What two sets share lies in both prefixes or behind the prefix that ends first, so they have at least as many in
+    common as the similarity asks for only if the prefixes share what the rest can't give. Roots meet first, so texts of
+    one root never pair with one another.
+    """
+    p, d = ALIKE.numerator, ALIKE.denominator
+    places = nodes.select("t", "n", "root", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("w"))
+    dealt = places.repartition("w")
+    mixed = dealt.groupBy("w").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("w")
+    met = written(dealt.join(mixed.hint("merge"), "w"), "prefixes")
+    groups = met.groupBy("w", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    a, b = groups.alias("a"), groups.alias("b")
+    sized = (F.col("a.most") * d >= F.col("b.least") * p) & (F.col("b.most") * d >= F.col("a.least") * p)
+    roots = a.join(b.hint("merge"), (F.col("a.w") == F.col("b.w")) & (F.col("a.root") < F.col("b.root")) & sized)
+    roots = roots.select(F.col("a.w").alias("w"), F.col("a.root").alias("one"), F.col("b.root").alias("other"))
+    x = met.select("w", F.col("root").alias("one"), F.col("t").alias("src"), F.col("n").alias("m"), F.col("rest").alias("after"))
+    y = met.select("w", F.col("root").alias("other"), F.col("t").alias("dst"), "n", "rest")
+    near = (F.col("m") * d >= F.col("n") * p) & (F.col("n") * d >= F.col("m") * p)
+    need = (F.col("m") + F.col("n")) * p - F.greatest("after", "rest") * (p + d)
+    pairs = roots.join(x.hint("merge"), ["w", "one"]).join(y.hint("merge"), ["w", "other"]).where(near)
+    shared = pairs.groupBy("src", "dst").agg(F.count("*").alias("c"), F.min(need).alias("need"), F.min("one").alias("one"), F.min("other").alias("other"))
+    return shared.where(F.col("c") * (p + d) >= F.col("need")).select("src", "dst", "one", "other")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,11 +289,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal in all columns one stays. Null and empty texts are copies of one another.
     """
     keyed = docs.withColumn("__tessera_key", row_key(docs))
-    rows = written(_described(keyed, id_col, text_col), "described", BATCH_ROWS)
+    rows = written(_described(keyed, id_col, text_col, _common(keyed, text_col)), "described", BATCH_ROWS)
     ranked = rows.withColumn("order", F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    nodes = written(ranked.groupBy("fp").agg(F.min(F.struct("order", "hi", "lo")).alias("m")).select("fp", "m.*"), "nodes")
-    wide = alike_links(keyed, nodes.select("fp", "hi", "lo", "order.id", "order.key"), text_col)
-    member = connected_components(grid_links(nodes.select("fp")).unionAll(wide))
-    grouped = nodes.join(member, nodes["fp"] == member["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("order").alias("order"))
+    nodes = written(ranked.groupBy("t").agg(F.min(F.struct("order", "fp", "hi", "lo", "n", "prefix")).alias("m")).select("t", "m.*"), "nodes")
+    texts = nodes.select("t", "order.key")
+    # a text stands for each fingerprint
+    stands = written(nodes.groupBy("fp").agg(F.min("t").alias("t")), "stands")
+    equal = nodes.select("fp", F.col("t").alias("src")).join(stands.hint("merge"), "fp").where("src <> t").select("src", F.col("t").alias("dst"))
+    a, b = stands.select(F.col("fp").alias("src"), F.col("t").alias("a")), stands.select(F.col("fp").alias("dst"), F.col("t").alias("b"))
+    near = grid_links(stands.select("fp")).join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("a", "b")
+    wide = alike_links(keyed, texts, wide_links(nodes.select(F.col("t").alias("fp"), "hi", "lo", "order.id")), text_col)
+    member = connected_components(equal.unionAll(near).unionAll(wide))
+    rooted = nodes.join(member.hint("merge"), nodes["t"] == member["node"], "left").withColumn("root", F.coalesce("root", "t"))
+    rooted = written(rooted.select("t", "n", "prefix", "root", "order"), "rooted")
+    rest = alike_links(keyed, texts, prefix_pairs(rooted), text_col)
+    joined = connected_components(rest, "one", "other").withColumnRenamed("root", "whole")
+    grouped = rooted.join(joined.hint("merge"), rooted["root"] == joined["node"], "left").groupBy(F.coalesce("whole", "root")).agg(F.min("order").alias("order"))
     stay = written(grouped.select(F.col("order.key").alias("__tessera_stay")), "stay")
-    return keyed.join(stay, F.col("__tessera_key") == F.col("__tessera_stay"), "left_semi").dropDuplicates(["__tessera_key"]).select(*docs.columns)
+    return keyed.join(stay.hint("merge"), F.col("__tessera_key") == F.col("__tessera_stay"), "left_semi").dropDuplicates(["__tessera_key"]).select(*docs.columns)
