@@ -461,20 +461,35 @@ def bands(score: Column, match: float = 0.85, review: float = 0.7) -> Column:
     return F.when(score >= match, "MATCH").when(score >= review, "REVIEW").otherwise("NO_MATCH")
 
 
+def composite_pairs(part: DataFrame, least: float = 0.7) -> DataFrame:
+    """(a, b, score) of pairs with a weighted composite of name distance, word overlap and type of ``least`` or more, blocked by brand and size.
+
+    Scores are taken once for each two values of (name, type) of a block, and the names are compared
+    only where words, type and lengths leave the score within reach; then every pair of keys is listed.
+    """
+    value = ["p_brand", "p_size", "p_name", "p_type"]
+    one = part.where("p_name IS NOT NULL AND p_partkey IS NOT NULL").groupBy(*value).agg(F.collect_list("p_partkey").alias("ks"), F.min("p_partkey").alias("k")).withColumn("w", F.split("p_name", " "))
+    a, b = one.alias("a"), one.alias("b")
+    x, y = F.struct("a.p_name", "a.p_type"), F.struct("b.p_name", "b.p_type")
+    met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & ((F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (x <= y))))
+    longest = F.greatest(F.length("a.p_name"), F.length("b.p_name"))
+    name = 1 - F.levenshtein("a.p_name", "b.p_name") / longest
+    words = F.size(F.array_intersect("a.w", "b.w")) / F.least(F.size(F.array_distinct("a.w")), F.size(F.array_distinct("b.w")))
+    kind = F.when(F.col("a.p_type") == F.col("b.p_type"), 1.0).otherwise(0.0)
+    score = 0.5 * name + 0.3 * words + 0.2 * kind
+    nearest = 1 - F.abs(F.length("a.p_name") - F.length("b.p_name")) / longest
+    reach = F.when(0.5 * nearest + 0.3 + 0.2 * kind < least - 1e-9, False).otherwise(0.5 * nearest + 0.3 * words + 0.2 * kind >= least - 1e-9)
+    scored = met.select(F.col("a.ks").alias("xs"), F.col("b.ks").alias("ys"), x.eqNullSafe(y).alias("same"), F.when(reach, score).alias("score")).where(F.col("score") >= least)
+    pairs = scored.select("ys", "same", "score", F.explode("xs").alias("x")).select("same", "score", "x", F.explode("ys").alias("y"))
+    return pairs.where("CASE WHEN same THEN x < y ELSE x <> y END").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+
 @query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS name,
 len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / least(len(list_distinct(string_split(a.p_name, ' '))), len(list_distinct(string_split(b.p_name, ' ')))) AS words,
 CASE WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END AS type FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
 SELECT a, b, round(score, 6) AS score, CASE WHEN score >= 0.85 THEN 'MATCH' ELSE 'REVIEW' END AS verdict FROM (SELECT a, b, 0.5 * name + 0.3 * words + 0.2 * type AS score FROM p) WHERE score >= 0.7""")
 def fuzzy_composite(t: Tables) -> DataFrame:
-    """Weighted composite of name distance, word overlap and type, blocked by brand and size; in bands."""
-    some = t.part.select("p_partkey", "p_name", "p_type", "p_brand", "p_size", F.split("p_name", " ").alias("w"))
-    a, b = some.alias("a"), some.alias("b")
-    met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    name = 1 - F.levenshtein("a.p_name", "b.p_name") / F.greatest(F.length("a.p_name"), F.length("b.p_name"))
-    words = F.size(F.array_intersect("a.w", "b.w")) / F.least(F.size(F.array_distinct("a.w")), F.size(F.array_distinct("b.w")))
-    score = 0.5 * name + 0.3 * words + 0.2 * F.when(F.col("a.p_type") == F.col("b.p_type"), 1.0).otherwise(0.0)
-    scored = met.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), score.alias("score")).where("score >= 0.7")
-    return scored.select("a", "b", F.round("score", 6).alias("score"), bands(F.col("score")).alias("verdict"))
+    return composite_pairs(t.part).select("a", "b", F.round("score", 6).alias("score"), bands(F.col("score")).alias("verdict"))
 
 
 @query()
