@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.alike import set_join
 from tessera.operators.catalog import Tables, query
 
 
@@ -425,29 +426,6 @@ def fuzzy_levenshtein(t: Tables) -> DataFrame:
     return fuzzy_pairs(t.part, "p_partkey", "p_name", F.col("p_brand")).withColumn("similarity", F.round("similarity", 6))
 
 
-def set_join(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, similarity) of pairs of distinct token sets with Jaccard similarity of ``least`` or more, by prefix filtering.
-
-    Equal sets are merged first under their least key. Tokens are ordered from the
-    rarest; two sets so alike share a token among the first ``n - ceil(least * n) + 1``
-    of each, so only those are joined, and only sets of near sizes; frequent tokens
-    come last and seldom meet. Candidates are verified over whole sets.
-    """
-    one = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s")).where(F.size("s") > 0).groupBy("s").agg(F.min("k").alias("k"))
-    token = one.select("k", F.explode("s").alias("w"))
-    frequency = token.groupBy("w").agg(F.count("*").alias("f"))
-    ranked = token.join(frequency, "w").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "w"))), lambda x: x["w"]).alias("s"))
-    sized = ranked.withColumn("n", F.size("s"))
-    prefix = sized.select("k", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(least * F.col("n")).cast("int") + 1)).alias("w"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.k") < F.col("b.k")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & near).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    x, y = sized.select(F.col("k").alias("a"), F.col("s").alias("x")), sized.select(F.col("k").alias("b"), F.col("s").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    similarity = shared / (F.size("x") + F.size("y") - shared)
-    return pairs.join(x, "a").join(y, "b").select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
-
-
 @query("""WITH w AS (SELECT s, min(k) AS k FROM (SELECT conv_id * 10000 + turn AS k, list_sort(list_distinct(string_split(lower(text), ' '))) AS s FROM conversations) GROUP BY 1),
 p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM w a JOIN w b ON a.k < b.k)
 SELECT a, b, round(i / u, 6) AS similarity FROM p WHERE i / u >= 0.15""")

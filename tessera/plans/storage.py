@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,3 +81,14 @@ def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFram
     with settings(spark, **bound):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def concluded(spark: SparkSession, name: str, build: Callable[[], DataFrame], arrow_rows: int | None = None) -> DataFrame:
+    """``written`` for what ``build`` returns; tables that were written on the way to it are deleted."""
+    path = new_path(spark, name)
+    bound = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(arrow_rows)} if arrow_rows else {}
+    with scope(spark):
+        df = build()
+        with settings(spark, **bound):
+            df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
