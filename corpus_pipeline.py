@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import line_rules, mixing, phrase_index, simhash, token_files
 from tessera.plans.session import table
-from tessera.plans.storage import written
+from tessera.plans.storage import concluded
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
-    return docs
+    """All stages over ``documents`` of ``sf_dir``; a stage's result is deleted once the next one's is written."""
+
+    def result(k: int) -> DataFrame:
+        if k < 0:
+            return table(spark, sf_dir, "documents")
+        name, stage = STAGES[k]
+        return concluded(spark, "stage-" + name.split()[0].lower(), lambda: stage(spark, result(k - 1), sf_dir))
+
+    return result(len(STAGES) - 1)

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.workers import row_key
-from tessera.plans.storage import written
+from tessera.plans.storage import concluded, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -169,7 +169,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     at = F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.coalesce(F.get("slots", k), F.col("last_slot")))
-    found = mix(docs, id_col, text_col, source_col).where(copies > 0).groupBy(F.col("row_hash").alias("__tessera_key")).agg(F.flatten(F.collect_list(at)).alias("__tessera_at"))
+
+    def places() -> DataFrame:
+        used = mix(docs, id_col, text_col, source_col).where(copies > 0)
+        return used.groupBy(F.col("row_hash").alias("__tessera_key")).agg(F.flatten(F.collect_list(at)).alias("__tessera_at"))
+
+    found = concluded(docs.sparkSession, "mix-places", places)
     once = docs.withColumn("__tessera_row", row_key(docs)).dropDuplicates(["__tessera_row"])
-    met = once.join(found, F.col("__tessera_row") == F.col("__tessera_key")).withColumn("__tessera_slot", F.explode("__tessera_at"))
+    met = once.join(found.hint("merge"), F.col("__tessera_row") == F.col("__tessera_key")).withColumn("__tessera_slot", F.explode("__tessera_at"))
     return met.repartitionByRange("__tessera_slot").sortWithinPartitions("__tessera_slot", "__tessera_row").select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.workers import BATCH_ROWS, give_back, row_key
-from tessera.plans.storage import written
+from tessera.plans.storage import concluded, written
 
 WINDOW_WORDS = 10
 #: Words between two documents of a shard; also the largest slack.
@@ -307,5 +307,10 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents in which a benchmark phrase occurs; rows are told apart by all their columns, so ids may be null or repeat."""
     keyed = docs.withColumn("__tessera_key", row_key(docs))
-    bad = decontaminate(keyed, items, "__tessera_key", text_col).where("contaminated").select(F.col("__tessera_key").alias("__tessera_bad")).distinct()
+
+    def hit() -> DataFrame:
+        found = decontaminate(keyed, items, "__tessera_key", text_col).where("contaminated")
+        return found.select(F.col("__tessera_key").alias("__tessera_bad")).distinct()
+
+    bad = concluded(docs.sparkSession, "contaminated", hit)  # the index goes with it
     return keyed.join(bad, F.col("__tessera_key") == F.col("__tessera_bad"), "left_anti").select(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.workers import BATCH_ROWS, give_back, row_key
 from tessera.operators.graph import connected_components
-from tessera.plans.storage import written
+from tessera.plans.storage import concluded, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -289,6 +289,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal in all columns one stays. Null and empty texts are copies of one another.
     """
     keyed = docs.withColumn("__tessera_key", row_key(docs))
+    stay = concluded(docs.sparkSession, "stay", lambda: _staying(keyed, id_col, text_col))
+    return keyed.join(stay.hint("merge"), F.col("__tessera_key") == F.col("__tessera_stay"), "left_semi").dropDuplicates(["__tessera_key"]).select(*docs.columns)
+
+
+def _staying(keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__tessera_stay): the keys of the rows of ``keyed`` that ``keep_one`` keeps. Tables of a step are deleted once its links are written."""
+    spark = keyed.sparkSession
     rows = written(_described(keyed, id_col, text_col, _common(keyed, text_col)), "described", BATCH_ROWS)
     ranked = rows.withColumn("order", F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     nodes = written(ranked.groupBy("t").agg(F.min(F.struct("order", "fp", "hi", "lo", "n", "prefix")).alias("m")).select("t", "m.*"), "nodes")
@@ -298,12 +305,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal = nodes.select("fp", F.col("t").alias("src")).join(stands.hint("merge"), "fp").where("src <> t").select("src", F.col("t").alias("dst"))
     a, b = stands.select(F.col("fp").alias("src"), F.col("t").alias("a")), stands.select(F.col("fp").alias("dst"), F.col("t").alias("b"))
     near = grid_links(stands.select("fp")).join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("a", "b")
-    wide = alike_links(keyed, texts, wide_links(nodes.select(F.col("t").alias("fp"), "hi", "lo", "order.id")), text_col)
+    cells = nodes.select(F.col("t").alias("fp"), "hi", "lo", "order.id")
+    wide = concluded(spark, "wide", lambda: alike_links(keyed, texts, wide_links(cells), text_col))
     member = connected_components(equal.unionAll(near).unionAll(wide))
     rooted = nodes.join(member.hint("merge"), nodes["t"] == member["node"], "left").withColumn("root", F.coalesce("root", "t"))
     rooted = written(rooted.select("t", "n", "prefix", "root", "order"), "rooted")
-    rest = alike_links(keyed, texts, prefix_pairs(rooted), text_col)
+    rest = concluded(spark, "rest", lambda: alike_links(keyed, texts, prefix_pairs(rooted), text_col))
     joined = connected_components(rest, "one", "other").withColumnRenamed("root", "whole")
     grouped = rooted.join(joined.hint("merge"), rooted["root"] == joined["node"], "left").groupBy(F.coalesce("whole", "root")).agg(F.min("order").alias("order"))
-    stay = written(grouped.select(F.col("order.key").alias("__tessera_stay")), "stay")
-    return keyed.join(stay.hint("merge"), F.col("__tessera_key") == F.col("__tessera_stay"), "left_semi").dropDuplicates(["__tessera_key"]).select(*docs.columns)
+    return grouped.select(F.col("order.key").alias("__tessera_stay"))

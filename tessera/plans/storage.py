@@ -69,6 +69,13 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _write(df: DataFrame, path: str, arrow_rows: int | None) -> None:
+    """Write ``df``; its shuffle files go at the end, not when the driver happens to collect its garbage."""
+    bound = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(arrow_rows)} if arrow_rows else {}
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **bound):
+        df.write.parquet(path)
+
+
 def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a reader of it.
 
@@ -77,18 +84,14 @@ def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    bound = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(arrow_rows)} if arrow_rows else {}
-    with settings(spark, **bound):
-        df.write.parquet(path)
+    _write(df, path, arrow_rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def concluded(spark: SparkSession, name: str, build: Callable[[], DataFrame], arrow_rows: int | None = None) -> DataFrame:
     """``written`` for what ``build`` returns; tables that were written on the way to it are deleted."""
     path = new_path(spark, name)
-    bound = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(arrow_rows)} if arrow_rows else {}
     with scope(spark):
         df = build()
-        with settings(spark, **bound):
-            df.write.parquet(path)
+        _write(df, path, arrow_rows)
     return spark.read.schema(df.schema).parquet(path)
