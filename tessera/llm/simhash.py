@@ -17,7 +17,8 @@ similarity of 0.8: texts whose fingerprints of five-word shingles lie within thr
 are linked as above, and all texts whose five-word Jaccard similarity, counted over whole
 texts, is 0.8 or more. A wide fingerprint of 128 bits over distinct words, in seeded grid
 cells of one-bit segments, links most of these in steps linear in a group's size; an exact
-join by prefixes then compares all texts that are not yet in one component.
+join by prefixes then compares all texts that are not yet in one component, large
+components by what sets their texts apart from a centre.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ CELL_BITS = 32
 #: Frequent shingles, at most, that a prefix takes last, and the share of rows (one in so many) that they are counted on. They set the order only.
 COMMON = 1 << 16
 COMMON_SHARE = 16
+#: Parts over which the texts of a class are dealt where they meet its centre.
+SALTS = 32
 _EVEN = 0x5555555555555555
 _SLICE = 1 << 16
 
@@ -240,46 +243,121 @@ def _common(docs: DataFrame, text_col: str) -> np.ndarray:
     return found[::-1].copy().view(np.uint64)
 
 
-def alike_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``pairs`` (src, dst, ...) whose five-word Jaccard similarity is ``ALIKE`` or more, counted over whole texts.
-
-    ``nodes`` is (t, key), key naming the row of ``docs`` (by its column __tessera_key) that stands for the text ``t``.
-    """
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("src").alias("t")).union(pairs.select("dst")).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, ends: DataFrame, text_col: str) -> DataFrame:
+    """(t, s): the distinct shingles of the texts ``ends`` (t). ``nodes`` is (t, key), key naming the row of ``docs`` (by its column __tessera_key) that stands for the text."""
     named = written(nodes.join(ends.hint("merge"), "t").select("t", "key"), "ends")
     texts = docs.join(named.select(F.col("key").alias("__tessera_key")).hint("merge"), "__tessera_key", "left_semi")
-    sets = written(_shingles(texts, text_col).dropDuplicates(["key"]).join(named.hint("merge"), "key").select("t", "s"), "shingles", BATCH_ROWS)
+    return written(_shingles(texts, text_col).dropDuplicates(["key"]).join(named.hint("merge"), "key").select("t", "s"), "shingles", BATCH_ROWS)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (src, dst, ...) whose ``sets`` (t, s) have a Jaccard similarity of ``ALIKE`` or more."""
     a, b = sets.select(F.col("t").alias("src"), F.col("s").alias("x")), sets.select(F.col("t").alias("dst"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     enough = both * (ALIKE.numerator + ALIKE.denominator) >= ALIKE.numerator * (F.size("x") + F.size("y"))
     return pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(enough).select(*pairs.columns)
 
 
-def prefix_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (src, dst, one, other) of ``nodes`` (t, n, prefix, root) of different roots, complete for a similarity of ``ALIKE``.
+def alike_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``pairs`` (src, dst, ...) whose five-word Jaccard similarity is ``ALIKE`` or more, counted over whole texts.
 
-    What two sets share lies in both prefixes or behind the prefix that ends first, so they have at least as many in
-    common as the similarity asks for only if the prefixes share what the rest can't give. Roots meet first, so texts of
-    one root never pair with one another.
+    ``nodes`` is (t, key) as in ``_sets``.
+    """
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("src").alias("t")).union(pairs.select("dst")).distinct()
+    return _alike(pairs, _sets(docs, nodes, ends, text_col))
+
+
+def prefix_classes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, pairs) of ``nodes`` (t, n, prefix, root), complete for a similarity of ``ALIKE`` between texts of different roots.
+
+    All texts of a root and of one size that share a word of their prefixes with another root are a class; ``texts`` is (t, root, n).
+    ``pairs`` (one, m, k, other, n, l), k and l counting the texts, are the classes of different roots that may hold texts that are alike.
+    Classes meet on words, not texts, so the members of a large class cost no row for each class that they meet. What two sets share lies in
+    both prefixes or behind the prefix that ends first, so the prefixes must share what the rest can't give. Two texts share no more words
+    than their classes do, and no more than either has in common with any other root; where that is too few, the classes part.
     """
     p, d = ALIKE.numerator, ALIKE.denominator
-    places = nodes.select("t", "n", "root", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("w"))
-    dealt = places.repartition("w")
+    dealt = nodes.select("t", "n", "root", F.explode("prefix").alias("w")).repartition("w")
     mixed = dealt.groupBy("w").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("w")
-    met = written(dealt.join(mixed.hint("merge"), "w"), "prefixes")
-    groups = met.groupBy("w", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = groups.alias("a"), groups.alias("b")
-    sized = (F.col("a.most") * d >= F.col("b.least") * p) & (F.col("b.most") * d >= F.col("a.least") * p)
-    roots = a.join(b.hint("merge"), (F.col("a.w") == F.col("b.w")) & (F.col("a.root") < F.col("b.root")) & sized)
-    roots = roots.select(F.col("a.w").alias("w"), F.col("a.root").alias("one"), F.col("b.root").alias("other"))
-    x = met.select("w", F.col("root").alias("one"), F.col("t").alias("src"), F.col("n").alias("m"), F.col("rest").alias("after"))
-    y = met.select("w", F.col("root").alias("other"), F.col("t").alias("dst"), "n", "rest")
-    near = (F.col("m") * d >= F.col("n") * p) & (F.col("n") * d >= F.col("m") * p)
+    texts = written(dealt.join(mixed.hint("merge"), "w").groupBy("t", "root", "n").agg(F.collect_list("w").alias("words")), "prefixes")
+    whole = texts.groupBy("root", "n").agg(F.max(F.size("words")).alias("most"), F.count("*").alias("texts"))
+    words = texts.select("root", "n", F.explode("words").alias("w")).distinct()
+    places = written(words.join(whole.hint("merge"), ["root", "n"]).withColumn("rest", F.ceil(F.col("n") * p / d).cast("int") - 1), "places")
+    a, b = places.toDF("one", "m", "w", "u", "k", "after"), places.toDF("other", "n", "w", "v", "l", "rest")
     need = (F.col("m") + F.col("n")) * p - F.greatest("after", "rest") * (p + d)
-    pairs = roots.join(x.hint("merge"), ["w", "one"]).join(y.hint("merge"), ["w", "other"]).where(near)
-    shared = pairs.groupBy("src", "dst").agg(F.count("*").alias("c"), F.min(need).alias("need"), F.min("one").alias("one"), F.min("other").alias("other"))
-    return shared.where(F.col("c") * (p + d) >= F.col("need")).select("src", "dst", "one", "other")
+    near = (F.col("m") * d >= F.col("n") * p) & (F.col("n") * d >= F.col("m") * p) & (F.least("u", "v") * (p + d) >= need)
+    met = a.join(b.hint("merge"), (a["w"] == b["w"]) & (F.col("one") < F.col("other")) & near)
+    shared = met.groupBy("one", "m", "k", "other", "n", "l").agg(F.count("*").alias("c"), F.min(need).alias("need"))
+    pairs = written(shared.where(F.col("c") * (p + d) >= F.col("need")).drop("c", "need"), "classes")
+    held = pairs.select(F.col("one").alias("root"), F.col("m").alias("n")).union(pairs.select("other", "n")).distinct()
+    return written(texts.select("t", "root", "n").join(held.hint("merge"), ["root", "n"], "left_semi"), "held"), pairs
+
+
+def _centres(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, m, centre): of the texts of each class of ``members`` (hub, m, t), the one that shares most with all of them."""
+    has = members.join(sets.hint("merge"), "t").select("hub", "m", "t", F.explode("s").alias("w"))
+    often = has.groupBy("hub", "m", "w").agg(F.count("*").alias("c"))
+    shared = has.join(often.hint("merge"), ["hub", "m", "w"]).groupBy("hub", "m", "t").agg(F.sum("c").alias("c"))
+    return shared.groupBy("hub", "m").agg(F.max(F.struct("c", "t")).alias("most")).select("hub", "m", F.col("most.t").alias("centre"))
+
+
+def _apart(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (t, centre, ...) with ``z``, the shingles that one of the texts ``t`` and ``centre`` has and the other lacks."""
+    salt = F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int").alias("salt")
+    x = rows.join(sets.withColumnRenamed("s", "x").hint("merge"), "t").select("*", salt)
+    few = sets.join(rows.select(F.col("centre").alias("t")).distinct().hint("merge"), "t")
+    y = few.select(F.col("t").alias("centre"), F.col("s").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    z = F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("z")
+    return x.join(y.hint("merge"), ["centre", "salt"]).select(*rows.columns, z)
+
+
+def class_pairs(texts: DataFrame, pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, rest) of ``pairs`` of classes: links (one, other) of roots, and all pairs (src, dst, one, other) of texts that may be alike where there is none.
+
+    Texts are told by what sets them apart from the centre of the larger class. Sets of m and n shingles are alike where
+    they differ in at most T = (m + n)(d - p) / (d + p) places; the centre has the size of its class, so two classes have one T.
+    A text within T of the centre is a link. If another, farther by z > T, is alike to a member that is y off the centre, both share at
+    least (z + y - T) / 2 of these differences, over half of the member's. So among any y - (z + y - T) / 2 + 1 of the member's is one of
+    the text's; those that the fewest texts have are taken. Rows grow with the members and the texts, not with their product,
+    unless they share such rare differences.
+    """
+    p, d = ALIKE.numerator, ALIKE.denominator
+    one, other = (F.struct(F.col(r).alias("root"), F.col(n).alias("n")) for r, n in (("one", "m"), ("other", "n")))
+    dealt = pairs.select(F.when(F.expr("k >= l"), one).otherwise(other).alias("a"), F.when(F.expr("k >= l"), other).otherwise(one).alias("b"))
+    dealt = dealt.select(F.col("a.root").alias("hub"), F.col("a.n").alias("m"), F.col("b.root").alias("far"), F.col("b.n").alias("n"))
+    of_hub, of_far = texts.withColumnsRenamed({"root": "hub", "n": "m"}), texts.withColumnRenamed("root", "far")
+    members = written(of_hub.join(dealt.select("hub", "m").distinct().hint("merge"), ["hub", "m"]).select("hub", "m", "t"), "members")
+    centres = written(_centres(members, sets), "centres")
+    others = dealt.join(of_far.hint("merge"), ["far", "n"]).join(centres.hint("merge"), ["hub", "m"])
+    others = written(_apart(others, sets).withColumn("most", (F.col("m") + F.col("n")) * (d - p)), "others")
+    links = written(others.where(F.size("z") * (p + d) <= F.col("most")).select("hub", "far").distinct(), "links")
+    still = written(others.join(links.hint("merge"), ["hub", "far"], "left_anti"), "still")
+    told = still.select("hub", "m", "far", "most", F.col("t").alias("dst"), F.size("z").alias("off"), F.explode("z").alias("w"))
+    often = told.groupBy("hub", "m", "w").agg(F.count("*").alias("c"))
+    around = members.join(still.select("hub", "m", "centre").distinct().hint("merge"), ["hub", "m"])
+    own = _apart(around, sets).select("hub", "m", F.col("t").alias("src"), F.size("z").alias("size"), F.explode("z").alias("w"))
+    counted = own.join(often.hint("merge"), ["hub", "m", "w"], "left").groupBy("hub", "m", "src", "size")
+    ranked = counted.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w"))).alias("z"))
+    half = ranked.select("hub", "m", "src", "size", F.posexplode(F.slice("z", F.lit(1), F.expr("int((size + 1) div 2)"))).alias("at", "e")).where("e.c > 0")
+    enough = (2 * F.col("at") + F.col("off") - F.col("size")) * (p + d) <= F.col("most")
+    named = half.select("hub", "m", "src", "size", "at", F.col("e.w").alias("w"))
+    met = named.join(told.withColumnRenamed("w", "v").hint("merge"), (named["hub"] == told["hub"]) & (named["m"] == told["m"]) & (F.col("w") == F.col("v")) & enough)
+    return links.toDF("one", "other"), met.select("src", "dst", named["hub"].alias("one"), F.col("far").alias("other")).distinct()
+
+
+def rest_links(docs: DataFrame, nodes: DataFrame, rooted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(one, other): links of roots of ``rooted`` (t, n, prefix, root), each for two texts that are alike; two roots with such texts have one or more.
+
+    Classes of one text are compared first, larger ones by ``class_pairs``. ``docs`` and ``nodes`` are as in ``alike_links``.
+    """
+    texts, pairs = prefix_classes(rooted)
+    sets = _sets(docs, nodes, texts.select("t"), text_col)
+    x, y = texts.toDF("one", "m", "src"), texts.toDF("other", "n", "dst")
+    single = pairs.where("k + l = 2").join(x.hint("merge"), ["one", "m"]).join(y.hint("merge"), ["other", "n"])
+    found = written(_alike(single.select("src", "dst", "one", "other"), sets).select("one", "other").distinct(), "found")
+    links, rest = class_pairs(texts, pairs.where("k + l > 2").join(found.hint("merge"), ["one", "other"], "left_anti"), sets)
+    return found.unionAll(links).unionAll(_alike(rest, sets).select("one", "other"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +388,7 @@ def _staying(keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     member = connected_components(equal.unionAll(near).unionAll(wide))
     rooted = nodes.join(member.hint("merge"), nodes["t"] == member["node"], "left").withColumn("root", F.coalesce("root", "t"))
     rooted = written(rooted.select("t", "n", "prefix", "root", "order"), "rooted")
-    rest = concluded(spark, "rest", lambda: alike_links(keyed, texts, prefix_pairs(rooted), text_col))
+    rest = concluded(spark, "rest", lambda: rest_links(keyed, texts, rooted, text_col))
     joined = connected_components(rest, "one", "other").withColumnRenamed("root", "whole")
     grouped = rooted.join(joined.hint("merge"), rooted["root"] == joined["node"], "left").groupBy(F.coalesce("whole", "root")).agg(F.min("order").alias("order"))
     return grouped.select(F.col("order.key").alias("__tessera_stay"))
